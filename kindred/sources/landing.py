@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,34 +14,43 @@ NDJSON_SUFFIXES = (".ndjson", ".json", ".jsonl")
 CHUNK_SIZE = 200
 
 
-def is_landing_key(key: Column) -> Column:
+def is_landing_key(key: Column, suffixes: Sequence[str] = NDJSON_SUFFIXES) -> Column:
     """A JSON-lines file that is not under an ``archive`` folder."""
-    return key.rlike(r"\.(ndjson|json|jsonl)$") & ~key.rlike(r"(^|/)archive/")
+    names = "|".join(re.escape(s) for s in suffixes)
+    return key.rlike(f"({names})$") & ~key.rlike(r"(^|/)archive/")
 
 
-def read_landing(spark: SparkSession, path: str) -> DataFrame:
+def number_lines(lines: DataFrame) -> DataFrame:
     """(source_key, source_line, value): non-blank lines, numbered from 1 per file.
 
-    A large file is read in several splits. A line's number is its place within
-    its split plus the number of lines in the file's earlier splits; only the
-    per-split totals are ordered, never the lines.
+    ``lines`` come straight from a text scan with ``source_key`` and ``block``, the
+    start of the split. A line's number is its place within its split plus the
+    number of lines in the file's earlier splits; only the per-split totals are
+    ordered, never the lines.
     """
-    lines = (spark.read.option("recursiveFileLookup", "true").text(path)
-             .select(F.col("_metadata.file_path").alias("source_key"),
-                     F.col("_metadata.file_block_start").alias("_block"), "value")
-             .where(is_landing_key(F.col("source_key")) & ~is_blank(F.col("value")))
-             .withColumn("_pos", F.monotonically_increasing_id()))
-    earlier = (Window.partitionBy("source_key").orderBy("_block")
+    placed = lines.where(~is_blank(F.col("value"))).withColumn(
+        "_pos", F.monotonically_increasing_id())
+    earlier = (Window.partitionBy("source_key").orderBy("block")
                .rowsBetween(Window.unboundedPreceding, -1))
-    blocks = (lines.groupBy("source_key", "_block")
+    blocks = (placed.groupBy("source_key", "block")
               .agg(F.min("_pos").alias("_first"), F.count("*").alias("_lines"))
               .withColumn("_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0))))
-    return lines.join(blocks, ["source_key", "_block"]).select(
+    return placed.join(blocks, ["source_key", "block"]).select(
         "source_key",
         (F.col("_pos") - F.col("_first") + F.col("_before") + 1).alias("source_line"),
         "value")
 
 
+def read_landing(spark: SparkSession, path: str,
+                 suffixes: Sequence[str] = NDJSON_SUFFIXES) -> DataFrame:
+    """Numbered lines of all landing files under a folder."""
+    return number_lines(
+        spark.read.option("recursiveFileLookup", "true").text(path)
+        .select(F.col("_metadata.file_path").alias("source_key"),
+                F.col("_metadata.file_block_start").alias("block"), "value")
+        .where(is_landing_key(F.col("source_key"), suffixes)))
+
+
 def landing_files(spark: SparkSession, path: str) -> DataFrame:
     """(source_key, length) of every landing file, empty ones included; contents are not read."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -1,0 +1,27 @@
+"""A table kept as whole Parquet versions, so a reader never meets a half-written one.
+
+A version is complete once its writer's ``_SUCCESS`` file is there; readers take
+the highest complete one. Versions are numbered by the micro-batch that wrote
+them, so a repeated batch writes its own version again and changes nothing else.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    fs = jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(int(s.getPath().getParent().getName().split("=")[1])
+                  for s in (fs.globStatus(jpath) or []))
+
+
+def write_version(df: DataFrame, path: str, version: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def read_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """Newest complete version (older than ``before``); None when there is none."""
+    found = [v for v in _versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/version={found[-1]}") if found else None
