@@ -438,7 +438,11 @@ ORACLE: dict[str, str] = {
     "rule_penalty_totals": _with(f"""SELECT split_part(p, '=', 1) AS rule_name, count(*) AS pairs,
   sum(CAST(split_part(p, '=', 2) AS BIGINT)) AS points
   FROM (SELECT unnest({_POINTS}) AS p FROM checked) WHERE p IS NOT NULL GROUP BY 1""", "checked"),
-    "rule_reasons": _with(_REASONS, "checked"),
+    "rule_reasons": _with(f"""SELECT rule_name, triggered, CASE WHEN NOT triggered THEN 0
+    WHEN rule_name IN ('physical_impossibility', 'biological_plausibility') THEN 50
+    WHEN rule_name = 'AgeConsistencyRule' THEN CASE WHEN reason LIKE 'Implied%' THEN 50 ELSE 40 END
+    WHEN rule_name = 'narrow_margin' THEN 15 ELSE 20 END AS penalty, reason, count(*) AS pairs
+  FROM ({_REASONS}) GROUP BY ALL""", "checked"),
     "link_edges": _with(f"""SELECT from_id, to_id, {_TIER} AS tier,
   array_to_string([{_TIER}, CASE WHEN r3i OR r3c THEN 'age_conflict' END,
     CASE WHEN r4 THEN 'gender_conflict' END], '|') AS layers,

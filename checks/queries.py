@@ -111,9 +111,9 @@ def rule_penalty_totals(spark, sf):
 
 @query
 def rule_reasons(spark, sf):
-    return ru.check_pairs(_pairs(spark, sf), keep_reasons=True).select(
-        "from_id", "to_id", F.inline("rule_results")).select(
-        "from_id", "to_id", "rule_name", "triggered", "reason")
+    checked = ru.check_pairs(_pairs(spark, sf), keep_reasons=True)
+    return checked.select(F.inline("rule_results")).groupBy(
+        "rule_name", "triggered", "penalty", "reason").agg(F.count("*").alias("pairs"))
 
 
 @query

@@ -30,7 +30,7 @@ def contains_ci(haystack: Column, needle: Column, wildcards: bool = False) -> Co
     """Case-insensitive substring test; ``wildcards`` lets ``%`` and ``_`` match."""
     h, n = F.lower(haystack), F.lower(needle)
     if wildcards:
-        return h.like(F.concat(F.lit("%"), n, F.lit("%")))
+        return F.like(h, F.concat(F.lit("%"), n, F.lit("%")))
     return h.contains(n)
 
 
