@@ -51,11 +51,24 @@ def read_landing(spark: SparkSession, path: str,
         .where(is_landing_key(F.col("source_key"), suffixes)))
 
 
-def landing_files(spark: SparkSession, path: str) -> DataFrame:
-    """(source_key, length) of every landing file, empty ones included; contents are not read."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-            .select(F.col("path").alias("source_key"), "length")
-            .where(is_landing_key(F.col("source_key"))))
+def landing_files(spark: SparkSession, path: str,
+                  suffixes: Sequence[str] = NDJSON_SUFFIXES) -> DataFrame:
+    """(source_key, length) of every landing file; contents are not read.
+
+    A scan skips empty files, so they come from the scan's own file index, which
+    stays in the JVM and becomes a table there.
+    """
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = spark._jsparkSession.createDataset(
+        spark._jvm.java.util.Arrays.asList(scan._jdf.inputFiles()),
+        spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    # the index writes local paths with an empty host, the scan without
+    keys = DataFrame(listed.toDF(), spark).select(
+        F.regexp_replace("value", "^file:///", "file:/").alias("source_key"))
+    sizes = scan.select(F.col("_metadata.file_path").alias("source_key"), "length")
+    return (keys.where(is_landing_key(F.col("source_key"), suffixes))
+            .join(sizes, "source_key", "left")
+            .withColumn("length", F.coalesce("length", F.lit(0).cast("long"))))
 
 
 def assign_chunks(lines: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFrame:
