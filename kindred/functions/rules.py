@@ -40,6 +40,7 @@ class Anchor:
     year: Column
     month: Column
     birth: Column
+    gender: Column
 
 
 @dataclass(frozen=True)
@@ -93,7 +94,8 @@ def is_age_viable(birth_year: Column, event_year: Column) -> Column:
 def birth_year_from_id(record_id: Column) -> Column:
     """Birth year carried by ids of the form ``BORN:YYYY:rest``."""
     digits = F.regexp_extract(record_id, r"^BORN:([+-]?[0-9]+)(?::|$)", 1)
-    return digits.try_cast("int")
+    # a failed cast costs an exception, so only ids of that form get there
+    return F.when(record_id.startswith("BORN:"), digits.try_cast("int"))
 
 
 def age_verdict(src_year: Column, src_birth: Column, dst_year: Column, dst_birth: Column) -> Column:
@@ -171,7 +173,7 @@ def age_consistency(p: Pair) -> Column:
 
 def gender_plausibility(p: Pair) -> Column:
     """Given names that suggest different genders cost points, no more."""
-    a, b = infer_gender(p.src.given), infer_gender(p.dst.given)
+    a, b = p.src.gender, p.dst.gender
     clear = a.isin("MALE", "FEMALE") & b.isin("MALE", "FEMALE")
     hit = clear & (a != b)
     name = lambda c: F.coalesce(c, F.lit("null"))
@@ -225,7 +227,8 @@ def _pair_columns(df: DataFrame) -> Pair:
         get = lambda f: (F.col(f"{side}_{f}") if f"{side}_{f}" in df.columns
                          else F.lit(None).cast(_OPTIONAL[f]))
         return Anchor(*[get(f) if f in _OPTIONAL else F.col(f"{side}_{f}")
-                        for f in ("id", "given", "location", "year", "month", "birth")])
+                        for f in ("id", "given", "location", "year", "month", "birth")],
+                      gender=F.col(f"_{side}_gender"))
     return Pair(anchor("from"), anchor("to"), F.col("travel_days"),
                 F.col("available_days"), F.col("transit_mode"))
 
@@ -238,13 +241,18 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Rule] | None = None,
     ``reasons`` the texts are never built.
     """
     chain = active_rules() if rules is None else sorted(rules, key=lambda r: r.order)
-    pair = _pair_columns(df)
     fields = ["triggered", "implausible", "penalty"] + (["reason"] if reasons else [])
-    results = {(i, f): r.check(pair)[f] for i, r in enumerate(chain) for f in fields}
-    return staged(df, {"rule_results": F.array(*[
-        F.struct(F.lit(r.name).alias("rule_name"),
-                 *[results[i, f].alias(f) for f in fields])
-        for i, r in enumerate(chain)])})
+    pair = _pair_columns(df)
+    df = staged(df, {f"_{side}_gender": infer_gender(F.col(f"{side}_given"))
+                     for side in ("from", "to")})
+    # one small step per rule: a single large one is too long a method for the JIT
+    for i, rule in enumerate(chain):
+        result = rule.check(pair)
+        df = staged(df, {f"_rule{i}": F.struct(
+            F.lit(rule.name).alias("rule_name"), *[result[f].alias(f) for f in fields])})
+    steps = [f"_rule{i}" for i in range(len(chain))]
+    return (df.withColumn("rule_results", F.array(*steps))
+            .drop("_from_gender", "_to_gender", *steps))
 
 
 def check_pairs(pairs: DataFrame, rules: Sequence[Rule] | None = None,

@@ -55,15 +55,12 @@ def landing_files(spark: SparkSession, path: str,
                   suffixes: Sequence[str] = NDJSON_SUFFIXES) -> DataFrame:
     """(source_key, length) of every landing file; contents are not read.
 
-    A scan skips empty files, so they come from the scan's own file index, which
-    stays in the JVM and becomes a table there.
+    A scan skips empty files, so the names come from its file index, the listing
+    the driver already holds to plan the scan.
     """
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    listed = spark._jsparkSession.createDataset(
-        spark._jvm.java.util.Arrays.asList(scan._jdf.inputFiles()),
-        spark._jvm.org.apache.spark.sql.Encoders.STRING())
     # the index writes local paths with an empty host, the scan without
-    keys = DataFrame(listed.toDF(), spark).select(
+    keys = spark.createDataFrame([(p,) for p in scan.inputFiles()], "value string").select(
         F.regexp_replace("value", "^file:///", "file:/").alias("source_key"))
     sizes = scan.select(F.col("_metadata.file_path").alias("source_key"), "length")
     return (keys.where(is_landing_key(F.col("source_key"), suffixes))
