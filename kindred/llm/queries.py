@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import pii, quality, tokens, urls
+from kindred.llm import decontaminate, licences, lines, mixing, pii, quality, simhash, substrings, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def _spans(spans: Column) -> Column:
         ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark passage, with the item and the place."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, fixed formats and learned ones."""
     found = pii.find(table(spark, sf_dir, "documents"))
@@ -33,6 +38,12 @@ def op2_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("learned").cast("long").alias("n_learned"))
 
 
+def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failed rules and the verdict of the full policy, per document."""
     judged = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -47,10 +58,34 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of earlier ones."""
+    out = substrings.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digest of every document and the known licences that it or a line of it is."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page."""
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_bk_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_line_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without equal or nearly equal earlier lines."""
+    out = lines.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_contextual_pii, op4_rule_ledger, op5_token_counts, op8_redirect_filter)}
+    f.__name__: f for f in (op1_spaced_seeds, op2_contextual_pii, op3_entropy_mix, op4_rule_ledger, op5_token_counts, op6_seed_extend,
+        op7_licence_digests, op8_redirect_filter, op9_bk_simhash, op10_line_edits)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ class Sieve:
 
     def __init__(self, keys: DataFrame, bits: int = 1 << 26):
         """``keys``: one long column; ``bits``: a power of two of at least 2**15."""
-        slot = F.col(keys.columns[0]).bitwiseAND(F.lit(bits - 1)).alias("slot")
+        slot = (F.col(keys.columns[0]).bitwiseAND(F.lit(bits - 1)) + 1).alias("slot")  # positions count from 1
         parts = (keys.select(slot).where("slot IS NOT NULL")
                  .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
                  .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")))
@@ -53,7 +54,6 @@ class Sieve:
     def column(self, key: Column) -> Column:
         """The same as a boolean column, for a long column without nulls."""
         @F.pandas_udf("boolean")
-        def may_hold(values: "pd.Series") -> "pd.Series":  # noqa: F821
-            import pandas as pd
+        def may_hold(values: pd.Series) -> pd.Series:
             return pd.Series(self.holds(values.to_numpy().astype(np.int64).view(np.uint64)))
         return may_hold(key)
