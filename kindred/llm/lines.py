@@ -8,7 +8,7 @@ untouched half of the variants (four keys per line) tells which.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from kindred.llm.stores import Sieve, stored
-from kindred.llm.words import BASE, NO_ID, UNBASE, bytes_of, doc_key, mixed, powers
+from kindred.llm.words import BASE, UNBASE, bytes_of, doc_key, mixed, powers
 
 #: Lines of fewer words only have equal partners: one edit would change too much of them.
 LEAST = 10
@@ -163,26 +163,28 @@ def near_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, gone, others ...) -> (n_lines, n_removed, kept, others ...)."""
     for b in batches:
-        texts, n = [], []
-        for text, gone in zip(bytes_of(b.column(2)), b.column(3).to_pylist(), strict=True):
+        texts, n, removed = [], [], []
+        for text, gone in zip(bytes_of(b.column(0)), b.column(1).to_pylist(), strict=True):
             lines = text.split(b"\n") if text is not None else []
-            n.append(len(lines))
             drop = set(gone or ())
+            n.append(len(lines))
+            removed.append(len(drop))
             texts.append(text if not drop else b"\n".join(x for i, x in enumerate(lines) if i not in drop))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([len(g or ()) for g in b.column(3).to_pylist()], pa.int64()),
-             pa.array(texts, pa.binary()).cast(pa.string())], ["doc", "row", "n_lines", "n_removed", "kept"])
+            [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), *b.columns[2:]],
+            ["n_lines", "n_removed", "kept", *b.schema.names[2:]])
 
 
-def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc_id, n_lines, n_removed, kept (text without the removed lines), one row per row.
+def dedup(docs: DataFrame, least: int = LEAST, carry: Sequence[str] = ()) -> DataFrame:
+    """``docs`` (doc_id, text) -> n_lines, n_removed, kept (text without the removed lines), doc_id, one row per row.
 
     A line goes if a line before it, by (doc_id, line number), has the same words or, where both have ``least`` words,
     is within one edit of it. Lines are judged on the input, whether or not the earlier line stays; lines
     without words stay. A null text stays null with no lines, an empty one has one blank line. Null doc_ids come last; rows
-    with one doc_id have no order among themselves, equal rows get equal results; an empty table gives an empty one; further columns are
-    ignored. Equal lines are those of one 64-bit hash; near ones are verified word by word.
+    with one doc_id have no order among themselves, equal rows get equal results; an empty table gives an empty one; of further columns
+    those named in ``carry`` come along. Equal lines are those of one 64-bit hash; near ones are verified word by word.
 
     Only texts that lose lines are shuffled to meet their line numbers.
     """
@@ -195,8 +197,15 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
             .where(F.col("near") | (F.struct("doc", "at") != F.col("first")))
             .groupBy("doc", "row").agg(F.collect_set("at").alias("gone")))
     gone = stored(gone, "line-gone")
-    flagged = texts.withColumn("may", Sieve(gone.select("row")).column(F.col("row")))
-    hit = flagged.where("may").drop("may").join(gone, ["doc", "row"], "left").select("doc", "row", "text", "gone")
-    clear = flagged.where("NOT may").select("doc", "row", "text", F.lit(None).cast("array<int>").alias("gone"))
-    out = hit.union(clear).mapInArrow(_cut, "doc long, row long, n_lines long, n_removed long, kept string")
-    return out.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "n_lines", "n_removed", "kept", "row")
+    other = [F.col(c).alias(f"__{i}") for i, c in enumerate(carry)]
+    whole = docs.select(F.xxhash64("doc_id", "text").alias("__row"), doc_key(F.col("doc_id")).alias("__doc"), F.col("text").alias("__text"),
+                        F.col("doc_id").alias("__id"), *other)
+    gone = gone.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("gone").alias("__gone"))
+    flagged = whole.withColumn("__may", Sieve(gone.select("__row")).column(F.col("__row")))
+    out = ["__text", "__gone", "__id", *[f"__{i}" for i in range(len(carry))]]
+    hit = flagged.where("__may").join(gone, ["__doc", "__row"], "left").select(*out)
+    clear = flagged.where("NOT __may").withColumn("__gone", F.lit(None).cast("array<int>")).select(*out)
+    both = hit.union(clear)
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in both.schema.fields[2:])
+    done = both.mapInArrow(_cut, f"n_lines long, n_removed long, kept string{kinds}")
+    return done.select("n_lines", "n_removed", "kept", F.col("__id").alias("doc_id"), *[F.col(f"__{i}").alias(c) for i, c in enumerate(carry)])
