@@ -134,7 +134,7 @@ def find(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
 
     start, stop: words of the document (exclusive stop); same: equal words among them; length:
     words of the item. A passage has STRETCH words or is the whole of a shorter item (items under
-    14 words must occur word for word), with SAME in 100 equal, after lower-casing and without punctuation.
+    13 words must occur word for word), with SAME in 100 equal, after lower-casing and without punctuation.
     Null or empty texts, and items under LEAST words, match nothing. Repeated documents give
     repeated rows; equal items all match. Empty tables give an empty result; further columns are ignored.
 

@@ -65,6 +65,7 @@ def multipliers(histogram: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFr
     the histogram, written to the scratch folder; the driver sees one number per round.
     """
     goal = goal.withColumn("mean", F.col("source_size") / F.col("n_docs"))
+    total = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")  # noqa: E731  exact, so that its order does not matter
     full = F.col("target") >= cap * F.col("source_size") * (1 - NEAR)
     state = stored(goal.select("source", "mean", "target", F.when(~full, F.lit(0.0)).alias("multiplier"),
                                F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(1.0).alias("off")), "mix-dual")
@@ -75,8 +76,8 @@ def multipliers(histogram: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFr
         rate = _rate(F.col("multiplier"), x, cap)
         step = (histogram.where("size > 0").join(state.where(F.col("multiplier").isNotNull()), histogram["source"].eqNullSafe(state["source"]))
                 .groupBy(state["source"], "mean", "target", "multiplier", "low", "high")
-                .agg(F.sum(F.col("n") * F.col("size") * rate).alias("words"),
-                     F.sum(F.when(rate < cap, F.col("n") * F.col("size") * rate * x).otherwise(0.0)).alias("slope")))
+                .agg(total(F.col("n") * F.col("size") * rate).alias("words"),
+                     total(F.when(rate < cap, F.col("n") * F.col("size") * rate * x).otherwise(0.0)).alias("slope")))
         gap = F.col("target") - F.col("words")
         now = (step.withColumn("off", gap / F.col("target"))
                .withColumn("low", F.when(gap > 0, F.col("multiplier")).otherwise(F.col("low")))
