@@ -30,7 +30,7 @@ def _city(i: str) -> str:
 
 def _rid(key: str) -> str:
     k = f"CAST({key} AS VARCHAR)"
-    return f"('R-' || CASE WHEN length({k}) < 8 THEN lpad({k}, 8, '0') ELSE {k}[1:8] END)"
+    return f"('R-' || CASE WHEN length({k}) < 8 THEN lpad({k}, 8, '0') ELSE {k} END)"
 
 
 CTE: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -97,17 +97,10 @@ _cte("genders", "SELECT * FROM (VALUES " + ",".join(
 _SIDES = [("record_id", "id"), ("given_name", "given"), ("family_name", "family"),
           ("location", "location"), ("event_year", "year"), ("event_month", "month"),
           ("birth_year", "birth")]
-_A_FIRST = "(event_year < b_event_year OR (event_year = b_event_year AND record_id < b_record_id))"
-_cte("pairs", "SELECT DISTINCT " + ", ".join(
-    f"CASE WHEN {_A_FIRST} THEN {c} ELSE b_{c} END AS from_{n}, "
-    f"CASE WHEN {_A_FIRST} THEN b_{c} ELSE {c} END AS to_{n}" for c, n in _SIDES) + """
-FROM (SELECT a.*, """ + ", ".join(f"b.{c} AS b_{c}" for c, _ in _SIDES) + """,
-    row_number() OVER (PARTITION BY a.record_id ORDER BY
-      CASE WHEN lower(a.given_name) = lower(b.given_name) THEN 0 ELSE 1 END,
-      b.event_year, b.record_id) AS rn
-  FROM records a JOIN records b ON lower(a.family_name) = lower(b.family_name)
-    AND a.record_id <> b.record_id AND abs(a.event_year - b.event_year) <= 5)
-WHERE rn <= 20""", "records")
+_cte("pairs", "SELECT " + ", ".join(f"a.{c} AS from_{n}, b.{c} AS to_{n}" for c, n in _SIDES) + """
+FROM records a JOIN records b ON lower(a.family_name) = lower(b.family_name)
+  AND abs(a.event_year - b.event_year) <= 5
+  AND (a.event_year < b.event_year OR (a.event_year = b.event_year AND a.record_id < b.record_id))""", "records")
 
 # travel and rules over any table "pairs_in" with from_* / to_* columns
 _CHECK = """
@@ -190,27 +183,28 @@ _cte("near", """
 SELECT q.request_id, r.record_id, r.given_name, r.family_name, r.event_year, r.location,
   row_number() OVER (PARTITION BY q.request_id ORDER BY r.event_year, r.record_id) AS rank
 FROM requests q JOIN records r ON contains(lower(r.location), lower(q.location))
-  AND abs(r.event_year - q.year) <= 5
-QUALIFY rank <= 100""", "requests", "records")
+  AND abs(r.event_year - q.year) <= 5""", "requests", "records")
 
-_DEFECTS = [17, 19, 23, 29, 31, 37, 41, 43, 47]
+_DEFECTS = [17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61]
 _KIND = "CASE " + " ".join(f"WHEN o_orderkey % {d} = 0 THEN {d}" for d in _DEFECTS) + " ELSE 0 END"
 _cte("landing", f"""
 SELECT 'landing/batch-' || (o_orderkey % 20) || '.ndjson' AS source_key,
   o_orderkey // 20 + 1 AS source_line,
   CASE WHEN kind = 31 THEN 'not json ' || o_orderkey ELSE '{{' || concat_ws(',',
-    '"recordId":' || CASE WHEN kind = 19 THEN 'null' ELSE '"' || {_rid('o_orderkey')} || '"' END,
+    '"recordId":' || CASE WHEN kind = 19 THEN 'null' WHEN kind = 59 THEN '"0"' ELSE '"' || {_rid('o_orderkey')} || '"' END,
     '"givenName":"' || CASE WHEN kind = 43 THEN '  ' || lower(g) || ' ' ELSE g END || '"',
     CASE WHEN kind <> 17 THEN '"familyName":"' || CASE WHEN kind = 43 THEN lower(f) || '  '
       ELSE f END || '"' END,
     '"eventYear":' || CASE WHEN kind = 23 THEN '"' || y || '"' WHEN kind = 29 THEN '2099'
       ELSE CAST(y AS VARCHAR) END,
     '"location":"' || CASE WHEN kind = 41 THEN '   ' ELSE {_city('c_nationkey')} END || '"',
-    CASE WHEN o_orderkey % 6 <> 0 THEN '"birthYear":' || CASE WHEN kind = 37
+    CASE WHEN kind = 53 THEN '"birthYear":' || (y + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -20 END) || '.5'
+      WHEN o_orderkey % 6 <> 0 THEN '"birthYear":' || CASE WHEN kind = 37
       THEN y + o_orderkey % 3 ELSE y - 5 - (o_custkey * 37) % 120 END END,
     CASE WHEN kind = 47 THEN
       '"rawContent":"SSN 123-45-6789, mail a.b@example.org, call (617) 555-1212."' END,
-    CASE WHEN o_orderkey % 10 = 0 THEN '"computeEmbedding":false' END) || '}}' END AS value
+    CASE WHEN o_orderkey % 10 = 0 THEN '"computeEmbedding":false' END,
+    CASE WHEN kind = 61 THEN '"note":"n' || o_orderkey || '"' END) || '}}' END AS value
 FROM (SELECT *, {_KIND} AS kind, {_given('o_custkey')} AS g, {_family('o_custkey')} AS f,
     1825 + (year(o_orderdate) - 1995) * 9 + o_orderkey % 9 AS y
   FROM orders JOIN customer ON o_custkey = c_custkey)
@@ -224,7 +218,10 @@ SELECT *, json_type(j, '$.recordId') AS t_id, json_type(j, '$.familyName') AS t_
   {_txt('recordId')} AS record_id, {_TITLE.format(_txt('givenName'))} AS given_name,
   {_TITLE.format(_txt('familyName'))} AS family_name,
   CAST({_txt('eventYear')} AS BIGINT) AS event_year,
-  CAST({_txt('birthYear')} AS BIGINT) AS birth_year, {_txt('location')} AS location,
+  CASE WHEN json_type(j, '$.birthYear') <> 'DOUBLE' THEN CAST({_txt('birthYear')} AS BIGINT) END AS birth_year,
+  {_txt('birthYear')} AS birth_text, CAST({_txt('birthYear')} AS DOUBLE) AS birth_number,
+  CASE WHEN json_type(j, '$.note') IS NOT NULL THEN '{{"note":"' || json_extract_string(j, '$.note') || '"}}'
+    WHEN json_type(j, '$.birthYear') = 'DOUBLE' THEN '{{"birthYear":' || {_txt('birthYear')} || '}}' END AS extra, {_txt('location')} AS location,
   json_extract_string(j, '$.rawContent') AS raw_content,
   CAST(json_extract_string(j, '$.computeEmbedding') AS BOOLEAN) AS compute_embedding
 FROM (SELECT *, CASE WHEN json_valid(value) THEN
@@ -237,19 +234,19 @@ SELECT *, CASE WHEN j IS NULL THEN ['invalid JSON']
   ELSE list_filter([
     CASE WHEN event_year NOT BETWEEN 1800 AND 1950
       THEN 'eventYear ' || event_year || ' out of range [1800–1950]' END,
-    CASE WHEN birth_year >= event_year
-      THEN 'birthYear ' || birth_year || ' >= eventYear ' || event_year
+    CASE WHEN birth_number >= event_year
+      THEN 'birthYear ' || birth_text || ' >= eventYear ' || event_year
       WHEN event_year - birth_year NOT BETWEEN 1 AND 110
       THEN 'implied age ' || (event_year - birth_year) || ' outside [1–110]' END,
     CASE WHEN location = '' THEN 'location is empty after strip' END], lambda x: x IS NOT NULL) END AS reasons
 FROM parsed""", "parsed")
-_cte("kept", """SELECT * FROM ruled WHERE source_key IN
-  (SELECT source_key FROM ruled GROUP BY 1 HAVING count(j) > 0)""", "ruled")
+_cte("kept", """SELECT *, CASE WHEN count(j) OVER (PARTITION BY source_key) = 0 THEN 'no valid JSON lines' END AS file_reason
+FROM ruled""", "ruled")
 _cte("seen", """
 SELECT source_key, reason, count(*) AS lines, min(source_line) AS first_line,
   arg_min(pos, source_line * 10 + pos) AS first_pos
-FROM (SELECT source_key, source_line, unnest(reasons) AS reason,
-    unnest(range(len(reasons))) AS pos FROM kept WHERE len(reasons) > 0)
+FROM (SELECT source_key, source_line, unnest(rs) AS reason, unnest(range(len(rs))) AS pos
+  FROM (SELECT *, CASE WHEN file_reason IS NULL THEN reasons ELSE [file_reason] END AS rs FROM kept WHERE len(reasons) > 0))
 GROUP BY 1, 2""", "kept")
 
 _cte("arrivals", f"""
@@ -382,13 +379,11 @@ FROM (SELECT *, {_SCORE} AS score FROM tops) t
 LEFT JOIN (SELECT *, {_SUM} AS adj FROM top_checked) c ON c.query_id = t.query_id"""
 
 _PROMPT = r"""
-SELECT q.query_id, 'You are a genealogical record linkage resolver. Given the query and ranked candidates '
-  || 'below, identify the best match and explain your reasoning.' || chr(10) || chr(10)
-  || 'Query: givenName=' || q.given_name || ' familyName=' || q.family_name
-  || coalesce(' approxYear=' || q.approx_year, '')
-  || CASE WHEN trim(coalesce(q.location, '')) <> '' THEN ' location=' || q.location ELSE '' END
-  || chr(10) || chr(10) || 'Ranked candidates (recordId | name | year | location | similarity):' || chr(10)
-  || coalesce(lines, '') || chr(10) || 'Provide a concise confidence-oriented summary in plain text.'
+SELECT q.query_id, 'Task: decide which stored record, if any, describes the person asked for, and say why.' || chr(10) || chr(10)
+  || 'Asked for: ' || q.given_name || ' ' || q.family_name || coalesce(', about ' || q.approx_year, '')
+  || CASE WHEN trim(coalesce(q.location, '')) <> '' THEN ', in ' || q.location ELSE '' END
+  || chr(10) || chr(10) || 'Records, best first (id | name | year | place | vector similarity):' || chr(10)
+  || coalesce(lines, '') || chr(10) || 'Answer in a few plain sentences and state how sure you are.'
   AS summary_prompt
 FROM queries q LEFT JOIN (SELECT query_id, string_agg('  ' || rank || '. ' || record_id || ' | '
     || given_name || ' ' || family_name || ' | ' || coalesce(CAST(event_year AS VARCHAR), 'null') || ' | '
@@ -401,11 +396,10 @@ SELECT q.request_id, coalesce(n, 0) AS record_count, coalesce(names, '') AS comm
   CASE WHEN n IS NULL THEN printf('No records found near %s around %d.', q.location, q.year)
     ELSE printf('%d records found near %s around %d. Common names: %s.', n, q.location, q.year,
       replace(names, '|', ', ')) END AS context_summary,
-  printf('You are a genealogical research assistant. Provide a brief contextual summary (2-3 sentences) for a researcher looking at records near %s around %d.',
+  printf('Task: describe life in %s about the year %d to a family historian, in three sentences at most.',
     q.location, q.year) || chr(10)
-  || printf('There are %d records in this area and time window.', coalesce(n, 0)) || chr(10)
-  || printf('Common names found: %s.', coalesce(replace(names, '|', ', '), 'none')) || chr(10)
-  || 'Focus on what this location and era would have been like historically.' || chr(10) AS summary_prompt
+  || printf('Records held for that place and time: %d.', coalesce(n, 0)) || chr(10)
+  || printf('Most frequent names: %s.', coalesce(replace(names, '|', ', '), 'none')) || chr(10) AS summary_prompt
 FROM requests q
 LEFT JOIN (SELECT request_id, count(*) AS n, min(event_year) AS lo, max(event_year) AS hi
   FROM near GROUP BY 1) USING (request_id)
@@ -523,14 +517,14 @@ ORACLE: dict[str, str] = {
   left(given_name || ' ' || family_name || ', ' || event_year || coalesce(', ' || location, ''), 25) AS snippet
   FROM records LEFT JOIN genders ON name = lower(given_name)""", "records", "genders"),
     "validate_lines": _with("""SELECT source_key, source_line, array_to_string(reasons, '|') AS reasons,
-  CASE WHEN j IS NULL THEN left(value, 200) END AS raw, record_id, given_name, family_name, event_year,
+  CASE WHEN j IS NULL THEN value END AS raw, record_id, given_name, family_name, event_year,
   birth_year, location FROM ruled""", "ruled"),
     "route_validated": _with(f"""SELECT record_id, given_name, family_name, CAST(event_year AS INTEGER) AS event_year,
   CAST(birth_year AS INTEGER) AS birth_year, location, NULL::VARCHAR AS source,
-  {_redact('raw_content')} AS raw_content, compute_embedding, source_key, source_line, 'b1' AS batch_id
+  {_redact('raw_content')} AS raw_content, compute_embedding, extra, source_key, source_line, 'b1' AS batch_id
   FROM kept WHERE len(reasons) = 0""", "kept"),
     "route_quarantine": _with("""SELECT source_key, source_line, 'b1' AS batch_id,
-  array_to_string(reasons, '|') AS reasons, CASE WHEN j IS NULL THEN left(value, 200) END AS raw
+  array_to_string(reasons, '|') AS reasons, file_reason, CASE WHEN j IS NULL THEN value END AS raw
   FROM kept WHERE len(reasons) > 0""", "kept"),
     "validation_summary": _with("""SELECT source_key, count(*) AS ingress,
   count(*) FILTER (len(reasons) = 0) AS validated, count(*) FILTER (len(reasons) > 0) AS quarantined
@@ -542,7 +536,9 @@ ORACLE: dict[str, str] = {
   k.source_key, 'b1' AS batch_id, line_count, reasons, 'pending' AS replay_status
   FROM (SELECT source_key, count(*) AS line_count FROM kept WHERE len(reasons) > 0 GROUP BY 1) k
   JOIN (SELECT source_key, string_agg(reason, '|' ORDER BY first_line, first_pos, reason) AS reasons
-    FROM seen GROUP BY 1) s USING (source_key)""", "kept", "seen"),
+    FROM seen GROUP BY 1) s USING (source_key)
+  UNION ALL SELECT 'quarantine/region-' || r_regionkey || '.ndjson', 'landing/region-' || r_regionkey || '.ndjson', 'b1', 0, 'empty file', 'pending'
+  FROM region""", "kept", "seen"),
     "quarantine_reasons": _with("""SELECT source_key, reason, lines, first_line,
   CAST(first_pos AS INTEGER) AS first_pos FROM seen""", "seen"),
     "replay": _with("""SELECT replace(source_key, 'landing/', 'quarantine/') AS source_key, source_line,
@@ -572,7 +568,8 @@ ORACLE: dict[str, str] = {
     "replay_duplicates": _with("""SELECT source_key, source_line, 2::BIGINT AS batches
   FROM kept WHERE len(reasons) > 0""", "kept"),
     "pair_outputs": _with("""SELECT source_key, source_line, 1::BIGINT AS lines, 0::BIGINT AS copies
-  FROM ruled WHERE source_key NOT IN (SELECT source_key FROM kept)""", "ruled", "kept"),
+  FROM ruled WHERE len(reasons) = 0 AND source_line % 50 = 0""", "ruled"),
+    "ingest_errors": _with("SELECT source_key, source_line, 'invalid JSON' AS error FROM parsed WHERE j IS NULL", "parsed"),
     "upsert_records": _with(_UPSERTED, "records", "latest"),
     "upsert_embeddings": f"""SELECT coalesce(n.id, o.id) AS record_id,
   CASE WHEN n.id IS NOT NULL THEN 'v2' ELSE 'test-64' END AS model_id,
@@ -603,7 +600,7 @@ ORACLE: dict[str, str] = {
     "read_archive": _with(f"""SELECT record_id, given_name, family_name, event_year, birth_year, location,
   source, {_day('created_at')} FROM archived""", "archived"),
     "archive_by_family": _with("""SELECT record_id, given_name, family_name, event_year, location
-  FROM archived WHERE lower(family_name) = 'smith'""", "archived"),
+  FROM archived WHERE lower(family_name) = 'bramley'""", "archived"),
     "archive_counts": _with("SELECT source, count(*) AS total FROM archived GROUP BY 1", "archived"),
     "archive_with_embeddings": _with("""SELECT record_id, given_name, family_name FROM archived
   JOIN vectors USING (record_id)""", "archived", "vectors"),

@@ -60,6 +60,8 @@ def convert_fields(df: DataFrame, line: str = "line") -> DataFrame:
                       .when(kind == "int", F.coalesce(number, F.lit(2**63 - 1)))
                       .otherwise(number))
             out[f"{f}_type"] = F.when(is_text_int & number.isNotNull(), "int").otherwise(kind)
+            # a number with a fraction part is no year to store, but the rules look at it
+            out[f"{f}_fraction"] = F.when(kind == "float", text.try_cast("double"))
         else:
             clean = title_case(trim_ws(text)) if f in NAMES else trim_ws(text)
             out[f] = F.when(kind == "str", clean).otherwise(text)
@@ -91,17 +93,20 @@ def schema_reasons() -> Column:
 
 def range_reasons() -> Column:
     """Event year, implied age and place must make sense."""
-    event, birth = F.col("eventYear"), F.col("birthYear")
+    event, fraction = F.col("eventYear"), F.col("birthYear_fraction")
+    birth = F.coalesce(F.col("birthYear").cast("double"), fraction)
     age = event - birth
+    # whole numbers print as such, fractions as decimals
+    shown = lambda c: F.when(fraction.isNull(), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
     in_range = event.between(EVENT_YEAR_MIN, EVENT_YEAR_MAX)
     text = lambda c: c.cast("string")
     return compact(
         F.when(~in_range, F.concat(F.lit("eventYear "), text(event), F.lit(
             f" out of range [{EVENT_YEAR_MIN}–{EVENT_YEAR_MAX}]"))),
-        F.when(birth >= event, F.concat(F.lit("birthYear "), text(birth),
+        F.when(birth >= event, F.concat(F.lit("birthYear "), shown(birth),
                                         F.lit(" >= eventYear "), text(event)))
         .when(~age.between(AGE_MIN, AGE_MAX), F.concat(
-            F.lit("implied age "), text(age), F.lit(f" outside [{AGE_MIN}–{AGE_MAX}]"))),
+            F.lit("implied age "), shown(age), F.lit(f" outside [{AGE_MIN}–{AGE_MAX}]"))),
         F.when(is_blank(F.col("location")), "location is empty after strip"))
 
 

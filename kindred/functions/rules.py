@@ -129,10 +129,10 @@ def age_verdict(src_year: Column, src_birth: Column, dst_year: Column, dst_birth
         reason.alias("reason"))
 
 
-def infer_gender(given: Column, genders: Mapping[str, str] = NAME_GENDER) -> Column:
-    """MALE, FEMALE, AMBIGUOUS or UNKNOWN from a given name."""
+def infer_gender(given: Column, genders: Mapping[str, str] | None = None) -> Column:
+    """MALE, FEMALE, AMBIGUOUS or UNKNOWN from a given name; ``genders`` replaces the built-in names."""
     return F.coalesce(
-        F.try_element_at(literal_map(genders), F.lower(trim_ws(given))), F.lit("UNKNOWN"))
+        F.try_element_at(literal_map(NAME_GENDER if genders is None else genders), F.lower(trim_ws(given))), F.lit("UNKNOWN"))
 
 
 # --- rules ----------------------------------------------------------------
@@ -233,8 +233,8 @@ def _pair_columns(df: DataFrame) -> Pair:
                 F.col("available_days"), F.col("transit_mode"))
 
 
-def evaluate_rules(df: DataFrame, rules: Sequence[Rule] | None = None,
-                   reasons: bool = True) -> DataFrame:
+def evaluate_rules(df: DataFrame, rules: Sequence[Rule] | None = None, reasons: bool = True,
+                   genders: Mapping[str, str] | None = None) -> DataFrame:
     """Run the chain on a pair table that already has travel and available days.
 
     Adds ``rule_results`` (array of structs, one per rule, in order). Without
@@ -243,7 +243,7 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Rule] | None = None,
     chain = active_rules() if rules is None else sorted(rules, key=lambda r: r.order)
     fields = ["triggered", "implausible", "penalty"] + (["reason"] if reasons else [])
     pair = _pair_columns(df)
-    df = staged(df, {f"_{side}_gender": infer_gender(F.col(f"{side}_given"))
+    df = staged(df, {f"_{side}_gender": infer_gender(F.col(f"{side}_given"), genders)
                      for side in ("from", "to")})
     # one small step per rule: a single large one is too long a method for the JIT
     for i, rule in enumerate(chain):
@@ -256,13 +256,15 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Rule] | None = None,
 
 
 def check_pairs(pairs: DataFrame, rules: Sequence[Rule] | None = None,
-                cities: DataFrame | None = None, keep_reasons: bool = False) -> DataFrame:
+                cities: DataFrame | None = None, keep_reasons: bool = False,
+                genders: Mapping[str, str] | None = None) -> DataFrame:
     """Travel estimate and rule chain for each pair; adds the struct ``spatio``.
 
     ``spatio``: plausible, travel_days, available_days, margin, transit_mode,
     rules_triggered (array), confidence_adjustment (0..50), rule_penalties (map of
     the triggered rules). With ``keep_reasons`` the column ``rule_results`` stays.
-    Everything is a projection: no shuffle unless ``cities`` is given.
+    Everything is a projection: no shuffle unless ``cities`` is given. ``cities`` and
+    ``genders`` (lower-case given name -> gender) replace the built-in tables.
     """
     month = lambda side: (F.col(f"{side}_month") if f"{side}_month" in pairs.columns
                           else F.lit(None).cast("int"))
@@ -270,7 +272,7 @@ def check_pairs(pairs: DataFrame, rules: Sequence[Rule] | None = None,
     df = transit_estimate(pairs, cities).withColumn(
         "available_days",
         available_days(F.col("from_year"), month("from"), F.col("to_year"), month("to")))
-    df = evaluate_rules(df, rules, reasons=keep_reasons).withColumn(
+    df = evaluate_rules(df, rules, keep_reasons, genders).withColumn(
         "_hits", F.filter("rule_results", lambda r: r["triggered"]))
     spatio = F.struct(
         (~F.exists("rule_results", lambda r: r["implausible"])).alias("plausible"),

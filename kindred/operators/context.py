@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.text import snapshot_prompt, snapshot_text
-from kindred.operators.candidates import near_place_and_year
+from kindred.operators.candidates import near_counts
 from kindred.operators.ranking import top_k
 
 
@@ -22,18 +22,20 @@ def top_names(df: DataFrame, by: Sequence[str], k: int = 5) -> DataFrame:
     return top_k(counts, by, [F.col("n").desc(), F.col("name")], k, rank="rank")
 
 
-def neighborhood_snapshot(requests: DataFrame, records: DataFrame, tol: int = 5, top: int = 5,
-                          cap: int = 100) -> DataFrame:
+def neighborhood_snapshot(requests: DataFrame, records: DataFrame, tol: int = 5,
+                          top: int = 5) -> DataFrame:
     """One row per (request_id, location, year): count, year range, frequent names, texts.
 
-    Looks at the first ``cap`` records near the place and year, as a search lists them.
+    Looks at all records near the place and year, as counts per name and year.
     """
-    near = near_place_and_year(requests, records, tol, cap)
+    near = near_counts(requests, records, tol)
     stats = near.groupBy("request_id").agg(
-        F.count("*").alias("n"), F.min("event_year").alias("lo"), F.max("event_year").alias("hi"))
-    names = top_names(near, ["request_id"], top).groupBy("request_id").agg(
+        F.sum("n").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"))
+    counts = near.groupBy("request_id", "name").agg(F.sum("n").alias("n"))
+    names = (top_k(counts, ["request_id"], [F.col("n").desc(), F.col("name")], top, rank="rank")
+             .groupBy("request_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))),
-                    lambda x: x["name"]).alias("names"))
+                    lambda x: x["name"]).alias("names")))
     found = (requests.join(stats, "request_id", "left").join(names, "request_id", "left")
              .withColumns({"n": F.coalesce("n", F.lit(0)),
                            "names": F.coalesce("names", F.array().cast("array<string>"))}))

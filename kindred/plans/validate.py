@@ -11,6 +11,7 @@ from kindred.functions.common import staged
 from kindred.functions.fields import (
     convert_fields,
     dest_key,
+    json_type,
     parse_line,
     redacted_raw_content,
     violations,
@@ -18,9 +19,12 @@ from kindred.functions.fields import (
 from kindred.operators.ranking import top_k
 from kindred.schemas import LANDING_FIELDS, MANIFEST_REPLAYS, PROVENANCE
 
-RAW_PREFIX = 200
+RAW_PREVIEW = 200
+# Error texts that go into a file's summary row; ``ingest_errors`` has all of them as rows.
 FILE_ERRORS = 20
 REPLAY_ERRORS = 10
+# Why a file is refused whole.
+EMPTY_FILE, NO_JSON = "empty file", "no valid JSON lines"
 
 
 class Routed(NamedTuple):
@@ -38,8 +42,8 @@ def file_verdicts(lines: DataFrame, files: DataFrame) -> DataFrame:
         "source_key",
         F.coalesce("ingress", zero).alias("ingress"),
         F.coalesce("json_ok", zero).alias("json_ok"),
-        F.when(F.col("ingress").isNull(), "empty file")
-        .when(F.col("json_ok") == 0, "no valid JSON lines").alias("file_reason"))
+        F.when(F.col("ingress").isNull(), EMPTY_FILE)
+        .when(F.col("json_ok") == 0, NO_JSON).alias("file_reason"))
 
 
 def checked_lines(lines: DataFrame, batch_id: str | Column) -> DataFrame:
@@ -48,12 +52,20 @@ def checked_lines(lines: DataFrame, batch_id: str | Column) -> DataFrame:
     parsed = staged(lines, {"line": parse_line(F.col("value"))})
     ruled = violations(convert_fields(parsed))
     bad_json = F.col("line").isNull()
+    raw = F.when(bad_json, F.col("value"))
     return ruled.withColumns({
         "reasons": F.when(bad_json, F.array(F.lit("invalid JSON"))).otherwise(F.col("reasons")),
-        "raw": F.when(bad_json, F.left("value", F.lit(RAW_PREFIX))),
+        "raw": raw, "raw_preview": F.left(raw, F.lit(RAW_PREVIEW)),
         "batch_id": batch})
 
 
+def _extra() -> Column:
+    """JSON text of the fields that have no column of their own, or whose value does not fit it."""
+    fields = F.map_filter(F.try_variant_get("line", "$", "map<string, variant>"), lambda k, v: ~k.isin(
+        *LANDING_FIELDS) | ((k == "birthYear") & F.col("birthYear_fraction").isNotNull()))
+    return F.when(F.size(fields) > 0, F.to_json(fields))
+
+
 def _typed(df: DataFrame) -> DataFrame:
     """Validated fields under the records table's column names and types."""
     return df.select(
@@ -65,25 +77,27 @@ def _typed(df: DataFrame) -> DataFrame:
         "location", "source",
         redacted_raw_content().alias("raw_content"),
         F.col("computeEmbedding").try_cast("boolean").alias("compute_embedding"),
-        *PROVENANCE)
+        _extra().alias("extra"), *PROVENANCE)
 
 
 def route(lines: DataFrame, batch_id: str | Column) -> Routed:
     """Split lines into validated and quarantined rows, provenance on both.
 
-    Files without a single JSON object are refused whole and give no rows. The two
+    Every line comes out once. Lines of a file without a single JSON object are quarantined
+    with ``file_reason``; bad lines keep their whole text in ``raw``, objects all their
+    fields in ``record``, and validated lines the fields without a column in ``extra``. The two
     results share one parse; write them from a persisted or checkpointed input, or
     with one write partitioned by outcome.
     """
     checked = checked_lines(lines, batch_id)
     refused = (lines.groupBy("source_key")
-             .agg(F.count_if(parse_line(F.col("value")).isNotNull()).alias("n"))
-             .where("n = 0").select("source_key"))
-    kept = checked.join(refused, "source_key", "left_anti")
-    quarantine = kept.where(F.size("reasons") > 0).select(
-        *PROVENANCE, "reasons", "raw", F.col("line").alias("record"),
+               .agg(F.count_if(parse_line(F.col("value")).isNotNull()).alias("n"))
+               .where("n = 0").select("source_key", F.lit(NO_JSON).alias("file_reason")))
+    bad = checked.where(F.size("reasons") > 0).join(refused, "source_key", "left")
+    quarantine = bad.select(
+        *PROVENANCE, "reasons", "file_reason", "raw", "raw_preview", F.col("line").alias("record"),
         *LANDING_FIELDS)
-    return Routed(_typed(kept.where(F.size("reasons") == 0)), quarantine)
+    return Routed(_typed(checked.where(F.size("reasons") == 0)), quarantine)
 
 
 def validation_summary(lines: DataFrame, batch_id: str = "") -> DataFrame:
@@ -95,9 +109,13 @@ def validation_summary(lines: DataFrame, batch_id: str = "") -> DataFrame:
 
 
 def quarantine_reasons(quarantine: DataFrame) -> DataFrame:
-    """(source_key, reason, lines, first_line, first_pos): one row per distinct reason and file."""
+    """(source_key, reason, lines, first_line, first_pos): one row per distinct reason and file.
+
+    A file that was refused whole has that one reason.
+    """
+    reasons = F.when(F.col("file_reason").isNotNull(), F.array("file_reason")).otherwise(F.col("reasons"))
     return quarantine.select("source_key", "source_line",
-                             F.posexplode("reasons").alias("pos", "reason")).groupBy(
+                             F.posexplode(reasons).alias("pos", "reason")).groupBy(
         "source_key", "reason").agg(
         F.count("*").alias("lines"),
         F.min(F.struct("source_line", "pos")).alias("first")).select(
@@ -105,17 +123,26 @@ def quarantine_reasons(quarantine: DataFrame) -> DataFrame:
         F.col("first.pos").alias("first_pos"))
 
 
-def quarantine_manifest(quarantine: DataFrame, at) -> DataFrame:
+def quarantine_manifest(quarantine: DataFrame, at, empty: DataFrame | None = None,
+                        batch_id: str | None = None, most: int = 1000) -> DataFrame:
     """One row per quarantined file: line count, distinct reasons as first seen, pending.
 
-    Reasons are reduced to distinct ones before they are gathered.
+    ``empty``: source_key of files without a line, which get a row under ``batch_id``. The array
+    holds the first ``most`` distinct reasons, so that a row stays bounded; ``quarantine_reasons`` has all.
     """
     counts = quarantine.groupBy("source_key").agg(
         F.count("*").alias("line_count"), F.min("batch_id").alias("batch_id"))
-    seen = quarantine_reasons(quarantine).groupBy("source_key").agg(F.transform(
+    first = top_k(quarantine_reasons(quarantine), ["source_key"],
+                  [F.col("first_line"), F.col("first_pos"), F.col("reason")], most)
+    seen = first.groupBy("source_key").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("first_line", "first_pos", "reason"))),
         lambda x: x["reason"]).alias("reasons"))
-    return counts.join(seen, "source_key").select(
+    files = counts.join(seen, "source_key")
+    if empty is not None:
+        files = files.unionByName(empty.select(
+            "source_key", F.lit(0).cast("long").alias("line_count"), F.lit(batch_id).cast("string").alias("batch_id"),
+            F.array(F.lit(EMPTY_FILE)).alias("reasons")))
+    return files.select(
         dest_key("quarantine", F.col("source_key")).alias("quarantine_key"),
         "source_key", "batch_id", F.lit(at).cast("timestamp").alias("quarantined_at"),
         "line_count", "reasons", F.lit("pending").alias("replay_status"),
@@ -129,7 +156,10 @@ def replay_quarantine(quarantine: DataFrame) -> DataFrame:
     it was read back from a quarantine file), or the kept raw text.
     """
     drop = ["_sourceKey", "_sourceLine", "_batchId", "_reasons", "_reason", "_raw"]
-    fields = F.map_filter(F.try_variant_get("record", "$", "map<string, variant>"),
+    record = F.col("record")
+    if quarantine.schema["record"].dataType.typeName() == "string":  # as a stored quarantine has it
+        record = F.try_parse_json(record)
+    fields = F.map_filter(F.try_variant_get(record, "$", "map<string, variant>"),
                           lambda k, v: ~k.isin(drop))
     return quarantine.select(
         dest_key("quarantine", F.col("source_key")).alias("source_key"), "source_line",
@@ -161,17 +191,27 @@ def ingest_outcomes(lines: DataFrame) -> DataFrame:
     """(source_key, source_line, outcome): failed, skipped or ok for each line to store."""
     record = F.try_parse_json("value")
     # JSON values that count as empty: null, "", 0, false, [], {}
-    empty = lambda f: F.coalesce(
-        F.try_variant_get(record, f"$.{f}", "string").isin("", "0", "0.0", "false", "[]", "{}"),
-        F.lit(True))
+    def empty(f: str) -> Column:
+        value = F.try_variant_get(record, f"$.{f}", "variant")
+        text, kind = F.try_variant_get(record, f"$.{f}", "string"), json_type(F.schema_of_variant(value))
+        return (F.when(text.isNull(), True).when(kind == "str", text == "")
+                .when(kind.isin("int", "float"), text.try_cast("double") == 0)
+                .otherwise(text.isin("false", "[]", "{}")))
+
     missing = empty("recordId") | empty("givenName") | empty("familyName")
     return lines.select("source_key", "source_line", "value",
                         F.when(parse_line(F.col("value")).isNull(), "failed")
                         .when(missing, "skipped").otherwise("ok").alias("outcome"))
 
 
+def ingest_errors(lines: DataFrame) -> DataFrame:
+    """(source_key, source_line, error): every line that failed."""
+    return ingest_outcomes(lines).where(F.col("outcome") == "failed").select(
+        "source_key", "source_line", F.lit("invalid JSON").alias("error"))
+
+
 def ingest_summary(lines: DataFrame) -> DataFrame:
-    """Per file: totals by outcome and the first failing line numbers."""
+    """Per file: totals by outcome and the first FILE_ERRORS failing line numbers (all: ``ingest_errors``)."""
     out = ingest_outcomes(lines)
     count = lambda o: F.count_if(F.col("outcome") == o)
     totals = out.groupBy("source_key").agg(

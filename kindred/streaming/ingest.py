@@ -39,7 +39,8 @@ def stream_validate(lines: DataFrame, out: str, at=None) -> DataStreamWriter:
             "select current_timestamp()").first()[0])
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{out}/{name}/epoch={epoch}")
         put(validated, "validated")
-        put(quarantine.drop("record"), "quarantine")
+        # the record as JSON text, so that a stored quarantine can be replayed
+        put(quarantine.withColumn("record", F.to_json("record")), "quarantine")
         put(quarantine_manifest(quarantine, stamp), "manifest")
 
     return lines.writeStream.foreachBatch(write)

@@ -27,6 +27,10 @@ CASES = [
     (line(birthYear=1860), ["birthYear 1860 >= eventYear 1850"]),
     (line(birthYear="1700"), ["implied age 150 outside [1–110]"]),
     (line(birthYear="abc"), ["wrong type for birthYear: expected int, got str"]),
+    (line(birthYear=1860.0), ["birthYear 1860.0 >= eventYear 1850"]),
+    (line(birthYear=1700.5), ["implied age 149.5 outside [1–110]"]),
+    (line(birthYear=1820.5), []),
+    (line(note={"a": [1, "x"]}), []),
     (line(birthYear=None), []),
     (line(location="   "), ["location is empty after strip"]),
     ("[1, 2]", ["invalid JSON"]),
@@ -45,13 +49,18 @@ def test_rules_and_routing(spark):
     rows = va.checked_lines(df, "b").orderBy("source_line").collect()
     assert [r.reasons for r in rows] == [w for _, w in CASES]
     assert rows[3].givenName == "William" and rows[3].eventYear == 1850 and rows[3].location == "Boston"
-    assert len(rows[15].raw) == 200 and rows[0].raw is None
+    long = "William Harper, " + "x" * 300
+    assert [r.raw for r in rows if r.value == long] == [long] and rows[0].raw is None
+    assert [r.raw_preview for r in rows if r.value == long] == [long[:200]]
     bad = lines(spark, ["a,b", "c,d"], "landing/b.csv.ndjson")
     good, held = va.route(df.union(bad), "b1")
     good, held = good.collect(), held.orderBy("source_line").collect()
-    # every line of a readable file is in exactly one output, a file without JSON in none
-    assert sorted(r.source_line for r in good + held) == list(range(1, len(CASES) + 1))
-    assert {r.source_key for r in good + held} == {"landing/a.ndjson"} and {r.batch_id for r in good} == {"b1"}
+    # every line is in exactly one output; those of a file without JSON say so
+    assert sorted((r.source_key, r.source_line) for r in good + held) == sorted(
+        [("landing/a.ndjson", i + 1) for i in range(len(CASES))] + [("landing/b.csv.ndjson", 1), ("landing/b.csv.ndjson", 2)])
+    assert {(r.source_key, r.file_reason) for r in held} == {("landing/a.ndjson", None), ("landing/b.csv.ndjson", "no valid JSON lines")}
+    assert {r.batch_id for r in good} == {"b1"}
+    assert {r.extra for r in good} == {None, '{"note":{"a":[1,"x"]}}', '{"birthYear":1820.5}'}
     assert {r.raw_content for r in good} == {None, "SSN [REDACTED] [REDACTED]"}
 
 
@@ -60,6 +69,14 @@ def test_manifest_and_replay(spark):
     held = va.route(df, "b1").quarantine
     m = va.quarantine_manifest(held, "2000-01-01")
     row = m.first()
+    empty = spark.createDataFrame([("landing/none.ndjson",)], "source_key string")
+    refused = va.route(lines(spark, ["a,b", "c" * 500]), "b1").quarantine
+    both = {r.source_key: r for r in va.quarantine_manifest(refused, "2000-01-01", empty, "b1").collect()}
+    assert both["landing/a.ndjson"].reasons == ["no valid JSON lines"] and both["landing/a.ndjson"].line_count == 2
+    assert both["landing/none.ndjson"].reasons == ["empty file"] and both["landing/none.ndjson"].line_count == 0
+    assert [r.value for r in va.replay_quarantine(refused).orderBy("source_line").collect()] == ["a,b", "c" * 500]
+    text = held.withColumn("record", F.to_json("record"))
+    assert sorted(map(str, va.replay_quarantine(text).collect())) == sorted(map(str, va.replay_quarantine(held).collect()))
     assert row.quarantine_key == "quarantine/a.ndjson" and row.line_count == 4 and row.replay_status == "pending"
     assert row.reasons == ["location is empty after strip", "invalid JSON", "eventYear 2099 out of range [1800–1950]"]
     again = va.replay_quarantine(held).orderBy("source_line").collect()
@@ -110,3 +127,11 @@ def test_chunks(spark):
     assert got == {"raw/x/part.a-chunk-001.jsonl": 200, "raw/x/part.a-chunk-002.jsonl": 200,
                    "raw/x/part.a-chunk-003.jsonl": 50, "noext-chunk-001.ndjson": 1}
     assert la.oversize_files(df, 200).first().lines == 450
+
+
+def test_only_empty_values_are_skipped(spark):
+    values = [("0", "ok"), (0, "skipped"), ("false", "ok"), (False, "skipped"), ("", "skipped"), (None, "skipped"), ([], "skipped"), ({}, "skipped"),
+              ("[]", "ok"), (0.0, "skipped"), (7, "ok"), (True, "ok"), ([1], "ok"), (..., "skipped")]
+    got = va.ingest_outcomes(lines(spark, [line(recordId=v) for v, _ in values])).orderBy("source_line")
+    assert [r.outcome for r in got.collect()] == [w for _, w in values]
+    assert [r.source_line for r in va.ingest_errors(lines(spark, [line(), "x", "y"])).orderBy("source_line").collect()] == [2, 3]
