@@ -482,6 +482,8 @@ ORACLE: dict[str, str] = {
       FROM query_vectors CROSS JOIN (SELECT * FROM vectors JOIN records USING (record_id)
         ORDER BY event_year NULLS LAST, record_id LIMIT 20)) WHERE sim >= 0.1)
   WHERE rank <= 5""", "query_vectors", "vectors", "records"),
+    "ann_recall": "SELECT 5 * (count(*) - 1) AS exact, true AS recall_ok FROM embeddings",
+    "ann_scores": "SELECT count(*) - 1 AS queries, 5 AS most, true AS scores_true FROM embeddings",
     "ann_nearest_is_self":
     f"""SELECT a.vec_id AS query_id, min({_rid('b.vec_id')}) AS record_id, 1.0::DOUBLE AS score
   FROM embeddings a JOIN embeddings b ON a.embedding = b.embedding GROUP BY a.vec_id""",
@@ -630,6 +632,24 @@ ORACLE: dict[str, str] = {
     "dq_required_ids": _with("""SELECT DISTINCT record_id FROM arrivals
   WHERE record_id NOT IN (SELECT record_id FROM records)""", "arrivals", "records"),
     "dq_count_prefix": _with("SELECT count(*) AS n FROM arrivals WHERE record_id LIKE 'R-1000%'", "arrivals"),
+    "read_landing": _with("""SELECT replace(source_key, 'landing/', '') AS file,
+  row_number() OVER (PARTITION BY source_key ORDER BY source_line) AS source_line, value FROM landing""", "landing"),
+    "landing_files": _with("""SELECT replace(source_key, 'landing/', '') AS file, 1::BIGINT AS files,
+  sum(strlen(value) + 1)::BIGINT AS bytes FROM landing GROUP BY 1""", "landing"),
+    "contains_ci": _with("""SELECT given_name, count(*) FILTER (family_name ILIKE '%ford%') AS plain, 0::BIGINT AS literal,
+  count(*) FILTER (family_name ILIKE '%b%wi_k%') AS wild FROM records GROUP BY 1""", "records"),
+    "registered_cleanser": f"""SELECT doc_id, CASE WHEN {_blank('text')} THEN text
+  ELSE replace({_place(_OCR.format('text'))}, 'the', 'THE') END AS text FROM documents""",
+    "registered_rule": _with("""SELECT from_year, count(*) FILTER (to_year - from_year >= 5) AS fired, count(*) AS pairs,
+  (3 * nullif(count(*) FILTER (to_year - from_year >= 5), 0))::BIGINT AS points FROM pairs GROUP BY 1""", "pairs"),
+    "own_embedder": _with(f"""SELECT record_id, length({_TEXT.format(year='event_year')}) AS n, 2 AS dim FROM records""", "records"),
+    "own_dimensions": _with("""SELECT CASE WHEN lower(from_given) = lower(to_given) THEN 'exact'
+    WHEN (lower(from_given), lower(to_given)) IN (('ruth', 'leslie'), ('leslie', 'ruth')) THEN 'variant'
+    ELSE 'family_only' END AS name_match, count(*) AS edges,
+  count(*) FILTER ((lower(from_given), lower(to_given)) IN (('zxqvr', 'john'), ('john', 'zxqvr'))) AS conflicts
+  FROM pairs GROUP BY 1""", "pairs"),
+    "stream_late_data": _with(f"""SELECT strftime({_bucket('1 day')}, '%Y-%m-%d %H:%M:%S') AS window_start,
+  sum(ingress)::BIGINT AS ingress, sum(quarantined)::BIGINT AS quarantined, true AS dropped FROM ev GROUP BY 1""", "ev"),
     "stream_quarantine_spike": _with(f"""SELECT strftime({_bucket('1 day')}, '%Y-%m-%d %H:%M:%S') AS window_start,
   sum(quarantined)::BIGINT AS quarantined FROM ev GROUP BY 1 HAVING sum(quarantined) > 50""", "ev"),
     "stream_ingress": _with(f"""SELECT strftime({_bucket('5 minutes')}, '%Y-%m-%d %H:%M:%S') AS window_start,

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from checks import testbed as tb
 from kindred.functions import cleanse as cl
+from kindred.functions import common
 from kindred.functions import rules as ru
 from kindred.functions import text as tx
 from kindred.functions.fields import dest_key, ingest_defaults
@@ -203,13 +204,29 @@ def semantic_search_first_rows(spark, sf):
         "query_id", "rank", "record_id", r4("score").alias("score"))
 
 
+def _mixed_queries(spark, sf) -> DataFrame:
+    """A query per stored vector: the vector bent towards its neighbour in the table, itself not stored."""
+    v = tb.query_vectors(spark, sf)
+    other = v.select((F.col("query_id") - 1).alias("query_id"), F.col("query_vector").alias("o"))
+    bent = F.zip_with("query_vector", "o", lambda x, y: x + F.lit(0.4).cast("float") * y)
+    return v.join(other, "query_id").select("query_id", bent.alias("query_vector"))
+
+
 @query
 def ann_recall(spark, sf):
-    q, e = tb.query_vectors(spark, sf), tb.embeddings(spark, sf)
+    q, e = _mixed_queries(spark, sf), tb.embeddings(spark, sf)
     exact = knn.nearest(q, e, 5).select("query_id", "record_id")
-    near = knn.ann_search(q, e, 5, bits=4).select("query_id", "record_id", F.lit(1).alias("hit"))
+    near = knn.ann_search(q, e, 5).select("query_id", "record_id", F.lit(1).alias("hit"))
     return exact.join(near, ["query_id", "record_id"], "left").agg(
-        F.count("*").alias("exact"), F.count("hit").alias("found"))
+        F.count("*").alias("exact"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_ok"))
+
+
+@query
+def ann_scores(spark, sf):
+    q, e = _mixed_queries(spark, sf), tb.embeddings(spark, sf)
+    found = knn.ann_search(q, e, 5).join(q, "query_id").join(e.select("record_id", "embedding"), "record_id")
+    return found.agg(F.countDistinct("query_id").alias("queries"), F.max("rank").alias("most"),
+                     F.bool_and(F.abs(F.col("score") - knn.cosine(F.col("embedding"), F.col("query_vector"))) < 1e-6).alias("scores_true"))
 
 
 @query
@@ -594,6 +611,92 @@ def dq_count_prefix(spark, sf):
     return quality.count_prefix(tb.arrivals(spark, sf), "R-1000")
 
 
+# --- landing files and extension points -------------------------------------
+
+def _written_landing(spark, sf) -> str:
+    """The landing lines as text, one folder and file per source key."""
+    path = scratch_dir(spark, "landing-files")
+    (tb.landing(spark, sf).repartition("source_key").sortWithinPartitions("source_key", "source_line")
+     .withColumn("file", F.element_at(F.split("source_key", "/"), -1)).select("file", "value")
+     .write.partitionBy("file").text(path))
+    return path
+
+
+def _file() -> Column:
+    return F.regexp_extract("source_key", "file=([^/]*)/", 1).alias("file")
+
+
+@query
+def read_landing(spark, sf):
+    lines = landing.read_landing(spark, _written_landing(spark, sf), suffixes=[".txt"])
+    return lines.select(_file(), "source_line", "value")
+
+
+@query
+def landing_files(spark, sf):
+    files = landing.landing_files(spark, _written_landing(spark, sf), suffixes=[".txt"])
+    return files.groupBy(_file()).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+@query
+def contains_ci(spark, sf):
+    r = tb.records(spark, sf)
+    hit = lambda needle, **kw: F.count_if(common.contains_ci(F.col("family_name"), F.lit(needle), **kw))
+    return r.groupBy("given_name").agg(hit("FORD").alias("plain"), hit("%wick").alias("literal"),
+                                       hit("B%wi_k", wildcards=True).alias("wild"))
+
+
+@query
+def registered_cleanser(spark, sf):
+    step = cl.register_cleanser(lambda c: F.replace(c, F.lit("the"), F.lit("THE")))
+    try:
+        return tb.documents(spark, sf).select("doc_id", cl.cleanse(F.col("text")).alias("text"))
+    finally:
+        cl.unregister_cleanser(step)
+
+
+@query
+def registered_rule(spark, sf):
+    def long_gap(p: ru.Pair) -> Column:
+        hit = p.dst.year - p.src.year >= 5
+        return ru.rule_result(hit, F.lit(False), F.when(hit, 3).otherwise(0), F.lit("five years apart"))
+
+    rule = ru.register_rule("long_gap", 9, long_gap)
+    try:
+        checked = ru.check_pairs(graph.candidate_pairs(tb.records(spark, sf)))
+    finally:
+        ru.unregister_rule(rule)
+    fired = F.array_contains(F.col("spatio.rules_triggered"), "long_gap")
+    return checked.groupBy("from_year").agg(F.count_if(fired).alias("fired"), F.count("*").alias("pairs"),
+                                            F.sum(F.col("spatio.rule_penalties")["long_gap"]).alias("points"))
+
+
+class _LengthEmbedder:
+    """Any object with ``embed`` will do: here two numbers about the text."""
+
+    def embed(self, texts: DataFrame) -> DataFrame:
+        n = F.length(F.coalesce("text", F.lit("")))
+        return texts.select("record_id", F.array(n.cast("float"), F.lit(1).cast("float")).alias("embedding"),
+                            F.lit(None).cast("string").alias("error"))
+
+
+@query
+def own_embedder(spark, sf):
+    out = embed.embed_records(tb.records(spark, sf), _LengthEmbedder(), "length", AS_OF)
+    return out.select("record_id", F.col("embedding")[0].cast("int").alias("n"), F.size("embedding").alias("dim"))
+
+
+_OWN_VARIANTS = {"ruth": "leslie", "leslie": "ruth"}
+
+
+@query
+def own_dimensions(spark, sf):
+    r = tb.records(spark, sf)
+    edges = graph.link_edges(r, variants=_OWN_VARIANTS, genders={"zxqvr": "FEMALE", "john": "MALE"})
+    conflict = F.array_contains(F.col("spatio.rules_triggered"), "GenderPlausibilityRule")
+    return edges.groupBy("name_match").agg(F.count("*").alias("edges"), F.count_if(conflict).alias("conflicts"))
+
+
 # --- streams ----------------------------------------------------------------
 
 def _finish(spark: SparkSession, writer: DataStreamWriter, checkpoint: str) -> None:
@@ -661,6 +764,27 @@ def stream_dedupe(spark, sf):
         "batch_id", _ymd("ts"))
 
 
+@query
+def stream_late_data(spark, sf):
+    """Counts per day in append mode: rows that come again after their day was closed are dropped."""
+    path = scratch_dir(spark, "late")
+    events = tb.ingest_events(spark, sf)
+    ends = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    after = events.limit(1)
+    late = events.where(F.col("ts") < F.lit(ends.lo) + F.expr("interval 1 day"))
+    day = lambda n: F.lit(ends.hi) + F.expr(f"interval {n} days")
+    for part in (events, after.withColumn("ts", day(30)), late, after.withColumn("ts", day(60))):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    running = (alarms.ingress_counts(stream, "1 day").writeStream.outputMode("append").format("parquet")
+               .option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+               .trigger(availableNow=True).start())
+    running.awaitTermination()
+    dropped = sum(op["numRowsDroppedByWatermark"] for p in running.recentProgress for op in p["stateOperators"])
+    out = spark.read.parquet(f"{path}/out").where(F.col("window_start") <= F.lit(ends.hi))
+    return out.select(_ymd("window_start"), "ingress", "quarantined", F.lit(dropped > 0).alias("dropped"))
+
+
 @query
 def stream_validate(spark, sf):
     path = scratch_dir(spark, "landing")

@@ -1,9 +1,9 @@
 """Similarity of vectors: reranking, exact and approximate nearest neighbours.
 
-Neighbours are found block against block. Both sides are cut into blocks of a
-bounded number of vectors, each pair of blocks that can hold neighbours meets in
-one task as a matrix product, and only the best ``k`` per query leave the task.
-No pair of vectors is ever a row, and no side is broadcast or collected.
+Exact search streams the stored vectors through tasks that hold a block of queries: nothing
+of them is shuffled, and a task keeps the best ``k`` per query. Query blocks are broadcast one
+after another, each of a bounded number of bytes. Approximate search lets hash cells
+decide which blocks meet. No pair of vectors is ever a row but for the best ones.
 """
 
 from __future__ import annotations
@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 
 from kindred.functions.text import snippet
 from kindred.functions.vectors import cosine
+from kindred.operators.lineage import durable
 from kindred.operators.ranking import top_k
 
 QUERY_BLOCK = 1024
 RECORD_BLOCK = 16384
+#: Bytes of query vectors that are broadcast at once, and score cells that a task holds at once.
+QUERY_BYTES = 64 << 20
+SCORES = 4_000_000
 
 
 def similarity_among(candidates: DataFrame, embeddings: DataFrame,
@@ -55,34 +59,69 @@ def _unit(vectors: pd.Series) -> np.ndarray:
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _top_cells(scores: np.ndarray, k: int, min_score: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the best ``k`` scores per row; ties go to the lower column."""
+    scores[np.isnan(scores)] = -np.inf
+    if scores.shape[1] > k:
+        cut = np.partition(scores, -k, axis=1)[:, [-k]]
+        above, level = scores > cut, scores == cut
+        room = k - above.sum(axis=1, keepdims=True)
+        keep = above | (level & (np.cumsum(level, axis=1) <= room))
+    else:
+        keep = np.ones_like(scores, dtype=bool)
+    return np.nonzero(keep & (scores >= min_score) & (scores > -np.inf))
+
+
+def _scores(q: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return np.round(q @ e.T, 10)
+
+
 def _best_in_block(k: int, min_score: float):
     def best(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if q.empty or e.empty:
             return pd.DataFrame({"query_id": [], "record_id": [], "score": []})
         e = e.sort_values("record_id", kind="stable")
-        scores = np.round(_unit(q["vector"]) @ _unit(e["vector"]).T, 10)
-        scores = np.where(np.isnan(scores), -np.inf, scores)
-        if scores.shape[1] > k:
-            # the k-th best per query; ties at that score go to the lowest ids
-            cut = np.partition(scores, -k, axis=1)[:, [-k]]
-            above, level = scores > cut, scores == cut
-            room = k - above.sum(axis=1, keepdims=True)
-            keep = above | (level & (np.cumsum(level, axis=1) <= room))
-        else:
-            keep = np.ones_like(scores, dtype=bool)
-        row, col = np.nonzero(keep & (scores >= min_score))
-        return pd.DataFrame({
-            "query_id": q["query_id"].to_numpy()[row],
-            "record_id": e["record_id"].to_numpy()[col],
-            "score": scores[row, col]})
+        units, found = _unit(q["vector"]), []
+        for i in range(0, len(e), step := max(1, SCORES // len(q))):
+            part = e.iloc[i:i + step]
+            scores = _scores(units, _unit(part["vector"]))
+            row, col = _top_cells(scores, k, min_score)
+            found.append(pd.DataFrame({"query_id": q["query_id"].to_numpy()[row],
+                                       "record_id": part["record_id"].to_numpy()[col], "score": scores[row, col]}))
+        return _first(pd.concat(found), k)
+    return best
+
+
+def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    return (found.sort_values(["score", "record_id"], ascending=[False, True], kind="stable")
+            .groupby("query_id", sort=False).head(k))
+
+
+def _stream_best(shared, k: int, min_score: float):
+    """Best ``k`` of a partition's vectors for each query of the broadcast block."""
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, units = shared.value
+        found, held = [], 0
+        for batch in batches:
+            batch = batch[batch["vector"].notna()].sort_values("record_id", kind="stable")
+            for i in range(0, len(batch), step := max(1, SCORES // max(1, len(ids)))):
+                part = batch.iloc[i:i + step]
+                scores = _scores(units, _unit(part["vector"]))
+                row, col = _top_cells(scores, k, min_score)
+                found.append(pd.DataFrame({"query_id": ids[row], "record_id": part["record_id"].to_numpy()[col], "score": scores[row, col]}))
+                held += len(row)
+                if held > SCORES:
+                    found = [_first(pd.concat(found), k)]
+                    held = len(found[0])
+        if found:
+            yield _first(pd.concat(found), k)
     return best
 
 
 def _block_top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: float) -> DataFrame:
     """Best ``k`` per query among the vectors that share its ``cell``.
 
-    Both sides: id, ``vector``, ``cell``. Cells are few (the caller bounds their
-    number); their sizes decide how many blocks each side is cut into, so a cell
+    Both sides: id, ``vector``, ``cell``. The cells' sizes decide how many blocks each side is cut into, so a cell
     that holds most of the rows is spread over many tasks.
     """
     blocks = lambda df, size, name: df.groupBy("cell").agg(
@@ -107,13 +146,31 @@ def _block_top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: floa
 
 
 def nearest(query_vectors: DataFrame, embeddings: DataFrame, k: int = 5,
-            min_score: float = -1.0) -> DataFrame:
-    """(query_id, record_id, score, rank): exact ``k`` nearest by cosine, score >= ``min_score``."""
-    q = query_vectors.select("query_id", F.col("query_vector").alias("vector"),
-                             F.lit(0).cast("long").alias("cell")).where("vector is not null")
-    e = embeddings.select("record_id", F.col("embedding").alias("vector"),
-                          F.lit(0).cast("long").alias("cell"))
-    return _block_top_k(q, e, k, min_score)
+            min_score: float = -1.0, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, record_id, score, rank): exact ``k`` nearest by cosine, score >= ``min_score``.
+
+    Reads the stored vectors once per ``query_bytes`` of query vectors; with more queries than a few such
+    blocks ``ann_search`` is the way. Of several blocks each one's result is written to the scratch folder
+    before the next is broadcast.
+    """
+    spark = embeddings.sparkSession
+    q = query_vectors.select("query_id", F.col("query_vector").alias("vector")).where("vector is not null")
+    e = embeddings.select("record_id", F.col("embedding").alias("vector"))
+    n, width = q.agg(F.count("*"), F.max(F.size("vector"))).first()
+    blocks = max(1, -(-n * (width or 0) * 8 // query_bytes))
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, record_id string, score double"
+    parts = None
+    for b in range(blocks):
+        # bounded: about query_bytes of vectors
+        own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
+        units = _unit(own["vector"]) if len(own) else np.zeros((0, width or 0))
+        shared = spark.sparkContext.broadcast((own["query_id"].to_numpy(), units))
+        found = e.mapInPandas(_stream_best(shared, k, min_score), schema) if len(own) else spark.createDataFrame([], schema)
+        if blocks > 1:
+            found = durable(found)
+            shared.unpersist()
+        parts = found if parts is None else parts.unionByName(found)
+    return top_k(parts, ["query_id"], [F.col("score").desc(), F.col("record_id")], k, rank="rank")
 
 
 def semantic_search(query_vectors: DataFrame, records: DataFrame, embeddings: DataFrame,
@@ -155,7 +212,7 @@ def _lsh_cells(tables: int, bits: int, seed: int):
             if vectors.empty:
                 yield pd.Series([], dtype=object)
                 continue
-            m = np.stack(vectors.to_numpy()).astype(np.float64)
+            m = np.stack(vectors.to_numpy())
             if planes is None:
                 planes = np.random.default_rng(seed).standard_normal((m.shape[1], tables * bits))
             side = (m @ planes > 0).reshape(len(m), tables, bits)
@@ -164,21 +221,21 @@ def _lsh_cells(tables: int, bits: int, seed: int):
 
 
 def ann_search(query_vectors: DataFrame, embeddings: DataFrame, k: int = 5, tables: int = 16,
-               bits: int = 6, seed: int = 7) -> DataFrame:
+               bits: int | None = None, seed: int = 7) -> DataFrame:
     """(query_id, record_id, score, rank): approximate ``k`` nearest by cosine.
 
     Random-hyperplane hashing: a query is scored against the vectors that share a
-    cell with it in any of the tables. There are ``tables * 2**bits`` cells; pick
-    ``bits`` near log2(vectors / 10,000). Of exact copies only the first ``k`` ids
-    are kept before hashing, since no more of them can be in an answer.
+    cell with it in any of the tables. ``bits`` per table come from the number of stored vectors, about 10,000 to a
+    cell, unless given. Of exact copies only the first ``k`` ids are kept before hashing, since
+    no more of them can be in an answer; copies are found by hash and id, without their vectors.
     """
-    if tables << bits > 1 << 22:
-        raise ValueError("tables * 2**bits must stay below four million cells")
+    stored = embeddings.select("record_id", F.col("embedding").alias("vector"))
+    if bits is None:
+        bits = min(40, max(2, int(np.log2(max(1, stored.count()) / 10_000 + 1)) + 1))
     cell = _lsh_cells(tables, bits, seed)
     spread = lambda df: df.withColumn("cell", F.explode(cell(F.col("vector"))))
-    e = (embeddings.select("record_id", F.col("embedding").alias("vector"))
-         .withColumns({"_h1": F.xxhash64("vector"), "_h2": F.hash("vector")}))
-    e = top_k(e, ["_h1", "_h2"], [F.col("record_id")], k).drop("_h1", "_h2")
+    ids = stored.select("record_id", F.xxhash64("vector").alias("_h1"), F.hash("vector").alias("_h2"))
+    first = top_k(ids, ["_h1", "_h2"], [F.col("record_id")], k).select("record_id")
     q = query_vectors.select("query_id", F.col("query_vector").alias("vector")).where(
         "vector is not null")
-    return _block_top_k(spread(q), spread(e), k, -1.0)
+    return _block_top_k(spread(q), spread(stored.join(first, "record_id", "left_semi")), k, -1.0)

@@ -48,6 +48,25 @@ def test_nearest_equals_brute_force_over_many_blocks(spark, monkeypatch, copies)
     assert sum(want.get((r.query_id, r.rank)) == r.record_id for r in near) > 0.9 * len(want)
 
 
+@pytest.mark.parametrize("size", ["-1", "100"])
+def test_exact_search_plans_no_nested_loop(spark, size):
+    """Whatever Spark thinks of broadcasts, neither side meets the other as a product; and many query blocks answer like one."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    try:
+        _, e = vectors(spark, 60, False)
+        q = e.select(F.col("record_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+        one = knn.nearest(q, e, 5)
+        plan = one._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        assert sorted(one.collect()) == sorted(knn.nearest(q, e, 5, query_bytes=2000).collect())
+        assert knn.nearest(q.where("query_id = 'none'"), e).count() == 0 and knn.nearest(q, e.where("record_id = 'none'")).count() == 0
+        gone = e.withColumn("embedding", F.when(F.col("record_id") > "R0010", F.col("embedding")))
+        assert {r.record_id for r in knn.nearest(q, gone, 60).collect()} == {f"R{i:04}" for i in range(11, 60)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_semantic_search_threshold(spark):
     r = spark.createDataFrame([("A", "John", "Smith", 1850, "Boston"), ("B", "Mary", "Jones", None, None)],
                               "record_id string, given_name string, family_name string, event_year int, location string")
