@@ -41,6 +41,17 @@ def test_search(spark):
     assert len(ids(ca.search_candidates(q("John", "Marlow", 1870, None), more))) == 20
 
 
+def test_blank_names_ask_for_any_but_match_exactly(spark):
+    r = spark.createDataFrame([*PEOPLE, ("B1", "", "Marlow", 1870, None), ("B2", "John", "", 1870, None), ("B3", None, "Marlow", 1870, None)], REC)
+    q = lambda *a: spark.createDataFrame([(1, *a, None)], Q)
+    assert ids(ca.match_exact(q("John", "", None, None), r)) == ["B2"]
+    assert ids(ca.search_candidates(q("", "Marlow", 1870, None), r)) == ["B1", "K5", "K3", "K4"]
+    assert ids(ca.search_candidates(q("John", None, 1870, None), r)) == ["B2", "K4", "K5"]
+    many = spark.createDataFrame([(i, "" if i % 2 else None, "", 1860 + i % 40, None, None) for i in range(3000)], Q)
+    got = ca.search_candidates(many, r).groupBy("query_id").count()
+    assert got.count() == sum(any(abs(y - 1860 - i % 40) <= 5 for y in (1861, 1864, 1870, 1871, 1866, 1902, 1885)) for i in range(3000))
+
+
 def people(n, seed, hot):
     """A third of all rows share one name; years, places and some names are missing."""
     rnd = random.Random(seed)
