@@ -20,7 +20,7 @@ from kindred.operators.lineage import scratch_dir
 from kindred.plans import resolve as rs
 from kindred.plans import validate as va
 from kindred.schemas import RECORDS
-from kindred.sources import archive, landing, versioned
+from kindred.sources import archive, bucketed, landing, versioned
 from kindred.streaming import alarms, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -803,8 +803,8 @@ def stream_upsert(spark, sf):
     tb.arrivals(spark, sf).write.parquet(f"{path}/in")
     arrivals = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
     start = _store(spark, sf)
-    _finish(spark, ingest.stream_upsert(arrivals, f"{path}/table", start, AS_OF), f"{path}/checkpoint")
-    return versioned.read_version(spark, f"{path}/table").select(
+    _finish(spark, ingest.stream_upsert(arrivals, f"{path}/table", start, AS_OF, buckets=8), f"{path}/checkpoint")
+    return bucketed.read_buckets(spark, f"{path}/table", start.schema).select(
         "record_id", "given_name", "family_name", "event_year", "birth_year", "location", "source",
         _ymd("created_at"), _ymd("updated_at"))
 

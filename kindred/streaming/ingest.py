@@ -12,8 +12,8 @@ from kindred.operators.embed import Embedder, embed_records
 from kindred.operators.lineage import durable
 from kindred.operators.upsert import upsert_records
 from kindred.plans.validate import quarantine_manifest, route
+from kindred.sources.bucketed import BUCKET, bucket_of, read_buckets, write_buckets
 from kindred.sources.landing import NDJSON_SUFFIXES, is_landing_key, number_lines
-from kindred.sources.versioned import read_version, write_version
 
 
 def stream_landing(spark: SparkSession, path: str, files_per_trigger: int = 1000,
@@ -53,15 +53,27 @@ def dedupe_arrivals(arrivals: DataFrame, keys: list[str], delay: str = "1 hour")
     return arrivals.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_upsert(arrivals: DataFrame, table: str, empty: DataFrame, at) -> DataStreamWriter:
-    """Merge each micro-batch of arrivals into the versioned records table, last one wins.
+def stream_upsert(arrivals: DataFrame, table: str, empty: DataFrame, at,
+                  buckets: int = 256) -> DataStreamWriter:
+    """Merge each micro-batch of arrivals into a bucketed records table, last one wins.
 
-    ``empty`` gives the table's schema before the first version.
+    ``empty`` is what the table starts from. A batch is written once and rewrites only the buckets of its ids.
+    Merging a batch again changes nothing, so a batch that was cut off is simply run again.
     """
+    schema = empty.schema
+
     def merge(batch: DataFrame, epoch: int) -> None:
-        current = read_version(batch.sparkSession, table, before=epoch)
-        write_version(upsert_records(current if current is not None else empty, batch, at),
-                      table, epoch)
+        spark = batch.sparkSession
+        current = read_buckets(spark, table, schema)
+        if current is None:
+            write_buckets(empty.withColumn(BUCKET, bucket_of("record_id", buckets)), table)
+            current = read_buckets(spark, table, schema)
+        incoming = durable(batch.withColumn(BUCKET, bucket_of("record_id", buckets)))
+        # at most ``buckets`` whole numbers, so that only their folders are read
+        touched = [r[0] for r in incoming.select(BUCKET).distinct().collect()]
+        old = current.where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+        merged = upsert_records(old, incoming.drop(BUCKET), at)
+        write_buckets(durable(merged.withColumn(BUCKET, bucket_of("record_id", buckets))), table)
 
     return arrivals.writeStream.foreachBatch(merge)
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators.embed import HashingEmbedder
 from kindred.schemas import RECORDS
-from kindred.sources import versioned
+from kindred.sources import bucketed, versioned
 from kindred.streaming import alarms, ingest
 
 AT = "2000-01-01 00:00:00"
@@ -76,8 +76,8 @@ def test_files_to_records(spark, tmp_path):
     stream = spark.readStream.schema(v.schema).parquet(f"{out}/validated").withColumn(
         "arrival", F.struct("batch_id", "source_key", "source_line"))
     table = str(tmp_path / "table")
-    finish(ingest.stream_upsert(stream, table, spark.createDataFrame([], RECORDS), AT), tmp_path / "c2")
-    got = versioned.read_version(spark, table)
+    finish(ingest.stream_upsert(stream, table, spark.createDataFrame([], RECORDS), AT, buckets=4), tmp_path / "c2")
+    got = bucketed.read_buckets(spark, table, RECORDS)
     assert {r.record_id: r.given_name for r in got.collect()} == {"R1": "Bea", "R3": "Ann"}
 
     vec = str(tmp_path / "vec")
