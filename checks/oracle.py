@@ -362,7 +362,7 @@ SELECT t.query_id,
   coalesce(ranked, '') AS ranked,
   round(CASE WHEN adj > 0 THEN greatest(0.05, score - adj / 100.0) ELSE score END, 4) AS confidence_score,
   concat_ws('|', 'SQL search reduced ' || (SELECT count(*) FROM records) || ' records to ' || n || ' candidates.',
-    CASE WHEN applied THEN 'Reranked by pgvector cosine similarity.' END,
+    CASE WHEN applied THEN 'Reranked by cosine similarity of vectors.' END,
     CASE WHEN approx_year IS NOT NULL THEN 'Applied year window ±5.' END,
     CASE WHEN {_HAS_PLACE} THEN 'Applied location filter.' END,
     CASE WHEN checkable THEN printf('Spatio-temporal validation: plausible=%s mode=%s travelDays=%.1f availDays=%.1f.',

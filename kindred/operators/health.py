@@ -9,11 +9,11 @@ from kindred.operators.embed import embedding_gaps
 
 
 def ingest_rate(batches: DataFrame, size: str = "ingress") -> DataFrame:
-    """(window_start, window_end, records, rate_per_min) per minute of event time."""
+    """(window_start, window_end, records, rate_per_min): windows are a minute long."""
     w = F.window("ts", "1 minute")
     return batches.groupBy(w.alias("w")).agg(F.sum(size).alias("records")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "records",
-        (F.col("records") * 60000.0 / 60000.0).alias("rate_per_min"))
+        (F.col("records") * 1.0).alias("rate_per_min"))
 
 
 def ingest_health(records: DataFrame, embeddings: DataFrame, batches: DataFrame,

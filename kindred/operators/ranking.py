@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
+def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | None,
           rank: str | None = None) -> DataFrame:
-    """First ``k`` rows of each group.
+    """First ``k`` rows of each group; with None all, ranked.
 
     The rank filter becomes a group limit on both sides of the exchange, so each
     map task sends at most ``k`` rows per group and a hot group never meets whole
-    in one task.
+    in one task. Spark plans that for ``k`` up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000); beyond it, and with None, a group is sorted in one task.
     """
+    if k is None and rank is None:
+        return df
     name = rank or "_rank"
     w = Window.partitionBy(*by).orderBy(*order)
-    out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
+    out = df.withColumn(name, F.row_number().over(w))
+    if k is not None:
+        out = out.where(F.col(name) <= k)
     return out if rank else out.drop(name)

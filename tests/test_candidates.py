@@ -92,6 +92,8 @@ def test_search_equals_brute_force_with_a_hot_name(spark):
            rnd.choice([None, 1845, 1850]), rnd.choice([None, "", "boston", "o", "Rome"]), None) for i in range(120)]
     got = answers(ca.search_candidates(spark.createDataFrame(qs, Q), spark.createDataFrame(rows, REC)))
     assert got == brute_search(qs, rows)
+    every = answers(ca.search_candidates(spark.createDataFrame(qs[:40], Q), spark.createDataFrame(rows, REC), limit=None))
+    assert every == brute_search(qs[:40], rows, limit=10**9)
 
 
 def test_pairs_equal_brute_force_with_a_hot_name(spark):
