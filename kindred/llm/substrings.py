@@ -106,10 +106,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     texts = keyed(docs)
     runs = stored(texts.mapInArrow(_runs, RUN), "runs")
-    # an anchor within one document leads nowhere
-    shared = runs.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("anchor", "least")
+    # an anchor within one document leads nowhere; the sides of a join are stored, so that a hot key's partition can be split
+    shared = stored(runs.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("anchor"), "run-anchors")
     met = stored(runs.join(shared, "anchor"), "runs-met")
-    kinds = stored(met.groupBy("anchor", "run").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("least").alias("least")), "run-kinds")
+    kinds = stored(met.groupBy("anchor", "run").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "run-kinds")
     whole = (met.join(kinds.where("first < last").select("anchor", "run", "first"), ["anchor", "run"]).where("doc > first")
              .select("doc", "row", "start", (F.col("start") + F.col("windows") + (SPAN - 1)).alias("stop")))
     # kinds of runs whose anchor has another kind too: their first documents are compared window by window
@@ -118,7 +118,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     single = texts.select("doc", "row", "text").mapInArrow(_windows(Sieve(open_kinds.select(F.col("run").bitwiseXOR(F.col("first"))))), "anchor long, run long, doc long, window long, offset int")
     single = stored(single.join(open_kinds, ["anchor", "run"]).where("doc = first").drop("first"), "run-windows")
     # equal words around equal anchors make equal windows, wherever the runs begin
-    first = single.groupBy("anchor", "window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("anchor", "window", "first")
+    first = stored(single.groupBy("anchor", "window").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+                   .where("first < last").select("anchor", "window", "first"), "run-first")
     found = single.join(first, ["anchor", "window"]).where("doc > first").select("anchor", "run", F.col("doc").alias("d"), "offset").distinct()
     part = (met.join(found, (met["anchor"] == found["anchor"]) & (met["run"] == found["run"]) & (met["doc"] == found["d"]))
             .select("doc", "row", (F.col("start") + F.col("offset")).alias("start"), (F.col("start") + F.col("offset") + SPAN).alias("stop")))
