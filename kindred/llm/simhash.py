@@ -19,7 +19,7 @@ from xxhash import xxh64_intdigest
 
 from kindred.llm.components import components
 from kindred.llm.stores import stored
-from kindred.llm.words import NO_ID, bytes_of, doc_key
+from kindred.llm.words import NO_ID, bytes_of, doc_key, slices
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints in a tree, about; larger shards are cut into parts that meet part by part.
@@ -47,7 +47,7 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         prints = np.array([fingerprint(t) for t in bytes_of(b.column(1))], np.uint64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["doc", "fingerprint"])
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.stores import Sieve, stored
-from kindred.llm.words import BASE, NO_ID, UNBASE, Pack, bytes_of, doc_key, mixed, packs, powers, rolled
+from kindred.llm.words import BASE, NO_ID, UNBASE, Pack, bytes_of, doc_key, mixed, packs, powers, rolled, slices, split_words
 
 #: Words of a window: the shortest passage that counts.
 SPAN = 50
@@ -140,17 +140,24 @@ def cut(words: list[bytes], spans: list[dict] | None) -> list[bytes]:
     return kept + words[at:]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts, n, removed = [], [], []
-        for text, spans in zip(bytes_of(b.column(1)), b.column(2).to_pylist(), strict=True):
-            words = text.split() if text else []
-            kept = cut(words, spans)
-            texts.append(b" ".join(kept))
-            n.append(len(words))
-            removed.append(len(words) - len(kept))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
-                                          pa.array(texts, pa.binary()).cast(pa.string())], ["doc", "n_words", "n_removed", "kept"])
+def _cut(sieve: Sieve | None):
+    """Rows (doc, row, text, spans) without the words in the spans; with a sieve only rows that it stops, whole."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            if sieve is not None:
+                rows = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+                b = b.filter(pa.array(~sieve.holds(rows)))
+            spans_of = b.column(3).to_pylist() if sieve is None else [None] * b.num_rows
+            texts, n, removed = [], [], []
+            for text, spans in zip(bytes_of(b.column(2)), spans_of, strict=True):
+                words = split_words(text)
+                kept = cut(words, spans)
+                texts.append(b" ".join(kept))
+                n.append(len(words))
+                removed.append(len(words) - len(kept))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
+                                              pa.array(texts, pa.binary()).cast(pa.string())], ["doc", "n_words", "n_removed", "kept"])
+    return run
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -164,10 +171,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     gone = stored(repeats(docs), "repeats")
     sieve = Sieve(gone.select("row"))
     texts = keyed(docs)
-    # no text where nothing can go: only its key and the flag travel with the join's result
-    may = sieve.column(F.col("row"))
-    flagged = texts.withColumn("may", may)
-    hit = flagged.where("may").join(gone, ["doc", "row"], "left").select("doc", "text", "spans")
-    clear = flagged.where("NOT may").select("doc", "text", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("spans"))
-    out = hit.union(clear).mapInArrow(_cut, "doc long, n_words long, n_removed long, kept string")
+    schema = "doc long, n_words long, n_removed long, kept string"
+    hit = texts.where(sieve.column(F.col("row"))).join(gone, ["doc", "row"], "left").select("doc", "row", "text", "spans")
+    out = hit.mapInArrow(_cut(None), schema).union(texts.mapInArrow(_cut(sieve), schema))
     return out.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept")

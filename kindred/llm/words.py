@@ -40,6 +40,13 @@ def doc_key(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in small pieces, so that few of their texts are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def bytes_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -70,7 +77,7 @@ def packs(batches: Iterable[pa.RecordBatch], text: str = "text",
           split: Callable[[bytes], list] = split_words, size: int = 100_000) -> Iterator[Pack]:
     """Packs of at least ``size`` words (but the last); texts are never cut."""
     rows, hashes, n = [], [], 0
-    for batch in batches:
+    for batch in slices(batches):
         others = [batch.column(c).to_pylist() for c in batch.schema.names if c != text]
         texts = bytes_of(batch.column(text))
         for i, t in enumerate(texts):
