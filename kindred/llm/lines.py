@@ -192,7 +192,8 @@ def dedup(docs: DataFrame, least: int = LEAST, carry: Sequence[str] = ()) -> Dat
     every = stored(texts.mapInArrow(_lines(least), LINE), "lines")
     first = stored(every.groupBy("line").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "line-first")
     near = near_lines(first.select("line", "first.doc", "first.at", "keys"), texts)
-    judged = first.select("line", "first", "n").join(near.withColumn("near", F.lit(True)), "line", "left").where("n > 1 OR near").drop("n")
+    # stored, so that the next join can split the partition of a hot line
+    judged = stored(first.select("line", "first", "n").join(near.withColumn("near", F.lit(True)), "line", "left").where("n > 1 OR near").drop("n"), "line-judged")
     gone = (every.select("line", "doc", "row", "at").join(judged, "line")
             .where(F.col("near") | (F.struct("doc", "at") != F.col("first")))
             .groupBy("doc", "row").agg(F.collect_set("at").alias("gone")))
