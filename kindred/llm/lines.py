@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from kindred.llm.stores import Sieve, stored
-from kindred.llm.words import BASE, UNBASE, bytes_of, doc_key, mixed, powers
+from kindred.llm.words import BASE, UNBASE, bytes_of, doc_key, mixed, powers, slices
 
 #: Lines of fewer words only have equal partners: one edit would change too much of them.
 LEAST = 10
@@ -53,7 +53,7 @@ def line_words(text: bytes | None) -> Iterator[tuple[int, list[bytes]]]:
 
 def _lines(least: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             docs, rows = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, row, text in zip(docs, rows, bytes_of(b.column(2)), strict=True):
@@ -71,7 +71,7 @@ def _lines(least: int):
 def _texts(sieve: Sieve):
     """(line, doc, at, text) of the lines that the sieve lets through, by line hash and document."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [(xxh64_intdigest(joined), doc, at, joined) for doc, text in zip(b.column(0).to_pylist(), bytes_of(b.column(1)), strict=True)
                      for at, words in line_words(text) for joined in (b" ".join(words),)]
             lines = np.array([f[0] for f in found], np.uint64).view(np.int64)
@@ -91,10 +91,10 @@ def variants(words: list[bytes]) -> np.ndarray:
     n = len(words)
     h = np.fromiter(map(xxh64_intdigest, words), np.uint64, n)
     weighted = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(n))))
-    without = weighted[:-1] + (weighted[-1] - weighted[1:]) * np.uint64(UNBASE)
+    without = weighted[:-1] + (weighted[-1:] - weighted[1:]) * np.uint64(UNBASE)
     place = mixed(np.arange(1, n + 2, dtype=np.uint64) * np.uint64(BASE))
-    return mixed(np.concatenate((without + np.uint64(n - 1) * np.uint64(UNBASE) ^ place[:n],
-                                 weighted[-1] + np.uint64(n) * np.uint64(UNBASE) ^ place)))
+    size = [np.uint64(m * UNBASE % 2**64) for m in (n - 1, n)]
+    return mixed(np.concatenate((without + size[0] ^ place[:n], weighted[-1:] + size[1] ^ place)))
 
 
 def _variants(sieve: Sieve | None):
@@ -162,19 +162,25 @@ def near_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_verified, "line long").distinct()
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, gone, others ...) -> (n_lines, n_removed, kept, others ...)."""
-    for b in batches:
-        texts, n, removed = [], [], []
-        for text, gone in zip(bytes_of(b.column(0)), b.column(1).to_pylist(), strict=True):
-            lines = text.split(b"\n") if text is not None else []
-            drop = set(gone or ())
-            n.append(len(lines))
-            removed.append(len(drop))
-            texts.append(text if not drop else b"\n".join(x for i, x in enumerate(lines) if i not in drop))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), *b.columns[2:]],
-            ["n_lines", "n_removed", "kept", *b.schema.names[2:]])
+def _cut(sieve: Sieve | None):
+    """Rows (row, text, gone, others ...) -> (n_lines, n_removed, kept, others ...); with a sieve only rows that it stops, whole."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            if sieve is not None:
+                rows = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                b = b.filter(pa.array(~sieve.holds(rows)))
+            gone_of = b.column(2).to_pylist() if sieve is None else [None] * b.num_rows
+            texts, n, removed = [], [], []
+            for text, gone in zip(bytes_of(b.column(1)), gone_of, strict=True):
+                lines = text.split(b"\n") if text is not None else []
+                drop = set(gone or ())
+                n.append(len(lines))
+                removed.append(len(drop))
+                texts.append(text if not drop else b"\n".join(x for i, x in enumerate(lines) if i not in drop))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), *b.columns[3:]],
+                ["n_lines", "n_removed", "kept", *b.schema.names[3:]])
+    return run
 
 
 def dedup(docs: DataFrame, least: int = LEAST, carry: Sequence[str] = ()) -> DataFrame:
@@ -202,11 +208,11 @@ def dedup(docs: DataFrame, least: int = LEAST, carry: Sequence[str] = ()) -> Dat
     whole = docs.select(F.xxhash64("doc_id", "text").alias("__row"), doc_key(F.col("doc_id")).alias("__doc"), F.col("text").alias("__text"),
                         F.col("doc_id").alias("__id"), *other)
     gone = gone.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("gone").alias("__gone"))
-    flagged = whole.withColumn("__may", Sieve(gone.select("__row")).column(F.col("__row")))
-    out = ["__text", "__gone", "__id", *[f"__{i}" for i in range(len(carry))]]
-    hit = flagged.where("__may").join(gone, ["__doc", "__row"], "left").select(*out)
-    clear = flagged.where("NOT __may").withColumn("__gone", F.lit(None).cast("array<int>")).select(*out)
-    both = hit.union(clear)
-    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in both.schema.fields[2:])
-    done = both.mapInArrow(_cut, f"n_lines long, n_removed long, kept string{kinds}")
+    sieve = Sieve(gone.select("__row"))
+    out = ["__row", "__text", "__gone", "__id", *[f"__{i}" for i in range(len(carry))]]
+    hit = whole.where(sieve.column(F.col("__row"))).join(gone, ["__doc", "__row"], "left").select(*out)
+    clear = whole.withColumn("__gone", F.lit(None).cast("array<int>")).select(*out)
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in hit.schema.fields[3:])
+    schema = f"n_lines long, n_removed long, kept string{kinds}"
+    done = hit.mapInArrow(_cut(None), schema).union(clear.mapInArrow(_cut(sieve), schema))
     return done.select("n_lines", "n_removed", "kept", F.col("__id").alias("doc_id"), *[F.col(f"__{i}").alias(c) for i, c in enumerate(carry)])
