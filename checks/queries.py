@@ -773,14 +773,15 @@ def stream_late_data(spark, sf):
     after = events.limit(1)
     late = events.where(F.col("ts") < F.lit(ends.lo) + F.expr("interval 1 day"))
     day = lambda n: F.lit(ends.hi) + F.expr(f"interval {n} days")
+    dropped = 0
     for part in (events, after.withColumn("ts", day(30)), late, after.withColumn("ts", day(60))):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    running = (alarms.ingress_counts(stream, "1 day").writeStream.outputMode("append").format("parquet")
-               .option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
-               .trigger(availableNow=True).start())
-    running.awaitTermination()
-    dropped = sum(op["numRowsDroppedByWatermark"] for p in running.recentProgress for op in p["stateOperators"])
+        part.write.mode("append").parquet(f"{path}/in")  # a part is one batch of all its files
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        running = (alarms.ingress_counts(stream, "1 day").writeStream.outputMode("append").format("parquet")
+                   .option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+                   .trigger(availableNow=True).start())
+        running.awaitTermination()
+        dropped += sum(op["numRowsDroppedByWatermark"] for p in running.recentProgress for op in p["stateOperators"])
     out = spark.read.parquet(f"{path}/out").where(F.col("window_start") <= F.lit(ends.hi))
     return out.select(_ymd("window_start"), "ingress", "quarantined", F.lit(dropped > 0).alias("dropped"))
 
