@@ -6,7 +6,7 @@ tolerance) are held against brute-force versions in ``tests/llm``.
 
 from __future__ import annotations
 
-from kindred.llm import licences, lines, quality, urls
+from kindred.llm import divergence, licences, lines, quality, urls
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -111,10 +111,32 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(r, 0)::BIGINT AS n_
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(x, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept FROM j GROUP BY doc_id) USING (doc_id)"""
 
 
+def _op11() -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+tok AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM tok GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.LEAST}),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN kept k ON g.lang = k.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT *, 1 + {divergence.SCALE}::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p FROM dense),
+whole AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL),
+q AS (SELECT lang, term, 1 + {divergence.SCALE}::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q FROM whole),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = a.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM f
+QUALIFY part = 'pair' OR rank <= {divergence.RANKS}"""
+
+
 ORACLE: dict[str, str] = {
     "op4_rule_ledger": _op4(),
     "op6_seed_extend": _op6(),
     "op7_licence_digests": _op7(),
     "op8_redirect_filter": _op8(),
     "op10_line_edits": _op10(),
+    "op11_hash_recount": _op11(),
 }

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontaminate, licences, lines, mixing, pii, quality, simhash, substrings, tokens, urls
+from kindred.functions.common import staged
+from kindred.llm import decontaminate, divergence, licences, lines, mixing, periodic, pii, quality, scoring, simhash, substrings, tokens, urls
+from kindred.llm.words import word_list
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +88,36 @@ def op10_line_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_hash_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and the terms that set it apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by the CRC of its id, repeats some of its words to its end; without an id none does."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, words = F.floor(h / 10), F.col("own_words")
+    n = F.size(words)
+    some = staged(docs, {"own_words": F.when(h % 10 == 0, word_list(F.col("text")))})  # words of the documents to change only
+    some = staged(some, {"first": F.when(n > 0, g % n)})
+    some = staged(some, {"period": F.floor((n - F.col("first")) / (3 + g % 8)) + 1})
+    first, period = F.col("first"), F.col("period")
+    repeated = F.transform(words, lambda w, i: F.when(i < first, w).otherwise(F.get(words, (first + (i - first) % period).cast("int"))))
+    return some.withColumn("text", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def op12_minimizer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document and what is left of it with one period of each."""
+    found = periodic.find(planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+                        F.expr("best.length * 1000 div best.period").alias("exponent_milli"), "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_neural_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of the others."""
+    return scoring.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_spaced_seeds, op2_contextual_pii, op3_entropy_mix, op4_rule_ledger, op5_token_counts, op6_seed_extend,
-        op7_licence_digests, op8_redirect_filter, op9_bk_simhash, op10_line_edits)}
+        op7_licence_digests, op8_redirect_filter, op9_bk_simhash, op10_line_edits, op11_hash_recount, op12_minimizer_runs, op13_neural_scores)}

@@ -49,13 +49,14 @@ def fingerprint(text: bytes | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         prints = np.array([fingerprint(t) for t in bytes_of(b.column(1))], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["doc", "fingerprint"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64)), *b.columns[2:]], ["doc", "fingerprint", *b.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc (long, null as NO_ID), fingerprint (long)."""
-    return docs.select(doc_key(F.col("doc_id")).alias("doc"), F.col("text").alias("text")).mapInArrow(
-        _fingerprints, "doc long, fingerprint long")
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (doc_id, text) -> doc (long, null as NO_ID), fingerprint (long) and the carried columns."""
+    schema = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(doc_key(F.col("doc_id")).alias("doc"), F.col("text").alias("text"), *carry).mapInArrow(
+        _fingerprints, "doc long, fingerprint long" + schema)
 
 
 def tree_edges(points: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,20 +196,20 @@ def links(prints: DataFrame, tree: int = TREE) -> DataFrame:
     return cells.repartition("shard", "pair").sortWithinPartitions("shard", "pair").mapInArrow(_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc_id, fingerprint (long), component_id: one row per row.
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (doc_id, text) -> doc_id, fingerprint (long), component_id, component and the carried columns: one row per row.
 
     Documents link where their fingerprints differ in at most RADIUS bits; component_id is the smallest doc_id
-    that links lead to. A null or empty text has fingerprint 0 and links like any other. Equal
+    that links lead to, component the smallest fingerprint there, never null. A null or empty text has fingerprint 0 and links like any other. Equal
     texts share a fingerprint, so copies are one node of the graph, however many. A null doc_id sorts
     last; a component of such documents alone has a null id. Repeated rows stay repeated; an empty
     table gives an empty one; further columns are ignored. Texts are read once and never shuffled.
     """
-    own = stored(fingerprints(docs), "simhash")
+    own = stored(fingerprints(docs, carry), "simhash")
     nodes = stored(own.groupBy("fingerprint").agg(F.min("doc").alias("first")), "simhash-nodes")
     member = components(links(nodes.select("fingerprint")))
     grouped = nodes.join(member.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     ids = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    answer = grouped.join(ids, "component").select("fingerprint", "component_id")
+    answer = grouped.join(ids, "component").select("fingerprint", "component_id", "component")
     out = own.join(answer, "fingerprint")
-    return out.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "fingerprint", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+    return out.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "fingerprint", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"), "component", *carry)
