@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import copies, decontaminate, lines, mixing, quality
+from kindred.llm import decontaminate, lines, mixing, quality, simhash
 from kindred.llm.stores import stored
-from kindred.llm.words import doc_key
+from kindred.llm.words import doc_key, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,31 +32,34 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return some.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with __doc (doc_key) and __row (hash of the text): what a decision on a row is joined on.
+def keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with doc_key and a hash of the text, and their names: what a decision on a row is joined on.
 
     Null and repeated doc_ids are told apart by their texts.
     """
-    return docs.withColumns({"__doc": doc_key(F.col("doc_id")), "__row": F.xxhash64("text")})
+    doc, row = unused(docs, "doc", "row")
+    return docs.withColumns({doc: doc_key(F.col("doc_id")), row: F.xxhash64("text")}), [doc, row]
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the first stays, by doc_id and then hash of the text, unchanged.
+    """Of each group that SimHash links (three-word shingles, two bits) the first stays, by doc_id and then hash of the text, unchanged.
 
     Of equal rows with a doc_id all stay: they are one document. Without an id each row is a document: one of equal ones stays.
     """
-    stay = stored(copies.firsts(docs), "firsts").select(F.col("doc").alias("__doc"), F.col("row").alias("__row"))
-    left = stored(keyed(docs).join(stay, ["__doc", "__row"], "left_semi"), "left")
-    named, nameless = left.where("doc_id IS NOT NULL"), left.where("doc_id IS NULL").dropDuplicates(["__row"])
+    rows, on = keyed(docs)
+    found = simhash.near_duplicates(rows.select("doc_id", "text", *on), carry=tuple(on))
+    firsts = found.groupBy("component").agg(F.min(F.struct(*on)).alias("first")).select("first.*")
+    left = stored(rows.join(stored(firsts, "firsts"), on, "left_semi"), "left")
+    named, nameless = left.where("doc_id IS NOT NULL"), left.where("doc_id IS NULL").dropDuplicates(on[1:])
     return named.union(nameless).select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage, unchanged."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = keyed(docs).select(F.struct("__doc", "__row").alias("doc_id"), "text")
-    leaks = stored(decontaminate.leaking(rows, bench), "leaks").select("doc_id.*")
-    return keyed(docs).join(leaks, ["__doc", "__row"], "left_anti").select(*docs.columns)
+    rows, on = keyed(docs)
+    leaks = stored(decontaminate.leaking(rows.select(F.struct(*on).alias("doc_id"), "text"), bench), "leaks").select("doc_id.*")
+    return rows.join(leaks, on, "left_anti").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +75,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("source_mix", source_mix),
 ]
 
-#: Near copies and the mix's rates are beyond SQL; a brute-force version is in tests/llm.
+#: Fingerprints and the mix's rates are beyond SQL; a brute-force version is in tests/llm.
 ORACLE_SQL = None
 
 
