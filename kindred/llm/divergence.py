@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,7 @@ class Shard:
         flat = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         cuts = np.cumsum(sizes)
         self.hash = PerfectHash([flat[b - n:b] for n, b in zip(sizes, cuts, strict=True)])
-        self.seed, self.stops, self.terms = seed, np.frombuffer(stops, np.int32), terms
+        self.seed, self.cuts, self.terms = seed, np.append(np.int32(0), np.frombuffer(stops, np.int32)), terms
 
     @staticmethod
     def packed(terms: list[bytes]) -> tuple[int, list[int], bytes, bytes, bytes]:
@@ -105,17 +106,16 @@ class Shard:
         return seed, [len(x) for x in perfect.levels], np.packbits(np.concatenate(perfect.levels)).tobytes(), stops.tobytes(), b"".join(placed)
 
     def words(self) -> list[bytes]:
-        stops = self.stops.tolist()
-        return [self.terms[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        cuts = self.cuts.tolist()
+        return [self.terms[a:b] for a, b in pairwise(cuts)]
 
     def slots(self, terms: list[bytes], hashes: np.ndarray) -> np.ndarray:
         """The slot of each term, -1 for those that are not stored. ``hashes``: with SEED."""
         if self.seed != SEED:
             hashes = np.fromiter((xxh64_intdigest(t, self.seed) for t in terms), np.uint64, len(terms))
         slot = self.hash(hashes)
-        stop = self.stops[slot]
-        start = np.where(slot > 0, self.stops[slot - 1], 0)
-        own = self.terms
+        place = np.maximum(slot, 0)
+        start, stop, own = self.cuts[place], self.cuts[place + 1], self.terms
         real = [own[a:b] == t for a, b, t in zip(start.tolist(), stop.tolist(), terms, strict=True)]
         return np.where(np.array(real, bool) & (slot >= 0), slot, -1)
 
@@ -175,6 +175,8 @@ def _recount(shared):
         def add() -> None:
             for (lang, source), counts in seen.items():
                 terms = list(counts)
+                if not terms:
+                    continue
                 h = np.fromiter((xxh64_intdigest(t, SEED) for t in terms), np.uint64, len(terms))
                 n = np.fromiter(counts.values(), np.int64, len(terms))
                 shard = h.view(np.int64) % number[lang]

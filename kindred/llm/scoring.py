@@ -6,9 +6,9 @@ WIDTH numbers; a text starts after two ends. The probability of a word is exp(s)
 where c is its count in the training texts, N and V the tokens and types of its class; the last share is that of words never seen.
 So all probabilities after a context sum up to one.
 
-Training: every task takes the current model, goes through its texts once by noise-contrastive estimation (Z is taken to be
-one there, words are told apart from words drawn by frequency), and gives its changed rows; rows are averaged, weighted by the
-examples that touched them. This is repeated ROUNDS times over all training texts. Z comes afterwards from matrix products: exp(s) is a product of a part per
+Training: all training texts are gone through once, in ROUNDS parts. For each part every task takes the current model, goes through its texts
+by noise-contrastive estimation (Z is taken to be one there, words are told apart from words drawn by frequency), and gives its changed rows;
+rows are averaged, weighted by the examples that touched them. Z comes afterwards from matrix products: exp(s) is a product of a part per
 context word, so Z of all pairs of context words is one product of two tables.
 """
 
@@ -30,7 +30,7 @@ from kindred.llm.stores import stored
 from kindred.llm.words import bytes_of, slices
 
 SYMBOLS, CLASSES, WIDTH = 2048, 256, 32
-ROUNDS, BATCH, NOISE, RATE, START = 3, 1024, 48, 0.3, 30.0
+ROUNDS, BATCH, NOISE, RATE, START = 2, 512, 48, 0.3, 30.0
 #: Words whose counts every task holds; those of the others are joined.
 LEXICON = 200_000
 #: Tokens that a task trains on in mixed order; distinct words that it counts at once.
@@ -145,13 +145,14 @@ class Trainer:
 
     def _move(self, k: int, rows: np.ndarray, change: np.ndarray) -> None:
         """A step of rows (of table k) against their summed gradients, smaller the more they moved before."""
-        order = np.argsort(rows, kind="stable")
+        order = rows.astype(np.uint16).argsort(kind="stable")
         rows = rows[order]
         at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
         which, total = rows[at], np.add.reduceat(change[order], at, axis=0)
-        self.touched[k, which] += np.diff(np.append(at, len(rows)))
-        self.model.speed[k, which] += np.square(total).mean(1)
-        self.model.tables()[k][which] -= self.rate * total / np.sqrt(self.model.speed[k, which])[:, None]
+        self.touched[k, which] += np.diff(at, append=len(rows))
+        speed = self.model.speed[k, which] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+        self.model.speed[k, which] = speed
+        self.model.tables()[k][which] -= (self.rate / np.sqrt(speed))[:, None] * total
 
     def learn(self, symbols: np.ndarray, starts: np.ndarray) -> None:
         """Once through some texts, in random order."""
@@ -172,9 +173,9 @@ class Trainer:
             self._move(2, np.concatenate((w, z)), np.concatenate((real[:, None] * q, false.T @ q)))
 
 
-def train_rows(encoded: DataFrame) -> DataFrame:
-    """The symbols of the training texts."""
-    return encoded.where(~F.col("held_out")).select("symbols")
+def train_rows(encoded: DataFrame, turn: int, rounds: int) -> DataFrame:
+    """The symbols of the training texts of one part."""
+    return encoded.where(~F.col("held_out") & (F.col("row") % rounds == turn)).select("symbols")
 
 
 def _batched(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -209,14 +210,14 @@ def _learner(shared, turn: int, width: int):
 
 
 def train(encoded: DataFrame, frequency: np.ndarray, width: int = WIDTH, rounds: int = ROUNDS) -> Model:
-    """The model after ``rounds`` times all training texts. The driver sees the averaged rows, of the model's size."""
+    """The model after all training texts, in ``rounds`` parts. The driver sees the averaged rows, of the model's size."""
     sc = encoded.sparkSession.sparkContext
     model = Model.fresh(frequency, width)
     columns = [f"x{i}" for i in range(width + 1)]
     schema = "k int, row int, touched long, speed double, " + ", ".join(f"{c} double" for c in columns)
     for turn in range(rounds):
         shared = sc.broadcast((model, frequency))  # of the model's size
-        rows = train_rows(encoded).mapInArrow(_learner(shared, turn, width), schema)
+        rows = train_rows(encoded, turn, rounds).mapInArrow(_learner(shared, turn, width), schema)
         mean = [(F.sum(F.col(c) * F.col("touched")) / F.sum("touched")).alias(c) for c in ("speed", *columns)]
         got = rows.groupBy("k", "row").agg(*mean).toArrow()
         model = Model(*(x.copy() for x in (*model.tables(), model.speed)))

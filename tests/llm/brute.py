@@ -6,6 +6,7 @@ import hashlib
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 PII = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
        ("card", r"[0-9]([\x20-]?[0-9])+"),
