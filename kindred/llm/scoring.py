@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +68,8 @@ class Lexicon:
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbol, base log10 probability and log10 share of its class, per place."""
-        symbol = np.fromiter(map(self.symbol, self.words), np.int64, len(self.words))
+        symbol = np.arange(1, len(self.words) + 1)
+        symbol[self.heads:] = [self.symbol(w) for w in islice(self.words, self.heads, None)]
         base = np.log10(self.counts + 1.0) - self.base_room()
         share = np.zeros(len(symbol))
         rare = slice(self.heads, None)
@@ -284,36 +285,36 @@ ENCODED = "row long, n_tokens long, n_known long, base double, share double, sym
 
 
 def _encoder(shared, n: int):
-    rest_type = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())]))
-
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Lexicon = shared.value
-        symbol, base, share = own.tables()
+        own: Lexicon = shared.value[0]
+        symbol, base, share = shared.value[1]
         low, room, rooms = own.symbols - own.classes, own.base_room(), own.share_room()
         end_base = float(np.log10(own.ends + 1.0)) - room
         row = TaskContext.get().partitionId() << 33
         for b in slices(batches):
-            out: list[tuple] = []
+            facts: list[tuple] = []
+            rest: list[Counter] = []
             for text in bytes_of(b.column(n)):
                 words = split(text)
                 place = np.fromiter(map(own.words.get, words, repeat(-1)), np.int64, len(words))
                 codes = np.zeros(len(words) + 1, np.uint16)
                 known = place >= 0
-                codes[:-1][known] = symbol[place[known]]
-                rest: Counter = Counter()
-                one, two = float(base[place[known]].sum()) + end_base, float(share[place[known]].sum())
-                for i in np.flatnonzero(~known).tolist():
-                    k = class_of(words[i], own.classes)
-                    codes[i] = low + k
-                    rest[words[i]] += 1
-                    two -= rooms[k]
-                one -= room * (len(words) - int(known.sum()))
-                out.append((row, len(words) + 1, int(known.sum()) + (own.ends > 0), one, two, codes.tobytes(),
-                            [{"token": w.decode(), "n": c} for w, c in rest.items()]))
+                inside, outside = place[known], np.flatnonzero(~known).tolist()
+                codes[:-1][known] = symbol[inside]
+                one, two = float(base[inside].sum()) + end_base - room * len(outside), float(share[inside].sum())
+                rest.append(Counter([words[i] for i in outside]))
+                if outside:
+                    k = [class_of(words[i], own.classes) for i in outside]
+                    codes[outside] = np.add(k, low)
+                    two -= float(rooms[k].sum())
+                facts.append((row, len(words) + 1, len(inside) + (own.ends > 0), one, two, codes.tobytes()))
                 row += 1
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), rest_type)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))],
+            columns = list(zip(*facts, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+            tokens = pa.array([w for some in rest for w in some], pa.binary()).cast(pa.string())
+            pairs = pa.StructArray.from_arrays([tokens, pa.array([c for some in rest for c in some.values()], pa.int64())], ["token", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rest)]), pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)), lists],
                                              [*b.schema.names[:n], "row", "n_tokens", "n_known", "base", "share", "symbols", "rest"])
 
     return encode
@@ -359,7 +360,7 @@ def score(docs: DataFrame, apart: Column | None = None, symbols: int = SYMBOLS,
                     .groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
     own = lexicon(counts, symbols, classes, most)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    encoded = stored(read.mapInArrow(_encoder(spark.sparkContext.broadcast(own), 2), f"doc_id {kind}, held_out boolean, {ENCODED}"), "lm-symbols")
+    encoded = stored(read.mapInArrow(_encoder(spark.sparkContext.broadcast((own, own.tables())), 2), f"doc_id {kind}, held_out boolean, {ENCODED}"), "lm-symbols")
     model = train(encoded, own.frequency(), width, rounds)
     shared = spark.sparkContext.broadcast((model, model.log_z()))  # of the model's size
     facts = ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "share"]
