@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,18 @@ def _under(mask: str, words: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks over a whole item of fewer than STRETCH words: whichever words SAME allows to differ, one mask leaves them all out.
+
+    For one word that is each place in turn. For two, the item is cut into four parts, and each two of them in turn.
+    """
+    differ = n * (100 - SAME) // 100
+    if not differ:
+        return ["1" * n]
+    parts = np.array_split(np.arange(n), n if differ == 1 else 2 * differ)
+    return ["".join("0" if any(i in parts[j] for j in left_out) else "1" for i in range(n)) for left_out in combinations(range(len(parts)), differ)]
+
+
 class Seeds:
     """Benchmark items (id, word hashes) and, per mask, their sorted hashes with a small lookup table."""
 
@@ -61,9 +74,7 @@ class Seeds:
         self.masks: dict[str, tuple[np.ndarray, np.ndarray, int, dict]] = {}
         found: dict[str, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for k, (_, words) in enumerate(self.items):
-            longest = max(map(len, MASKS))
-            # an item too short for a mask is its own seed, word for word
-            for mask in MASKS if len(words) >= longest else ("1" * len(words),):
+            for mask in MASKS if len(words) >= STRETCH else short_masks(len(words)):
                 for q, h in enumerate(_under(mask, words).tolist()):
                     found[mask][h].append((k, q))
         for mask, places in found.items():
@@ -133,8 +144,8 @@ def find(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
     """Passages of ``benchmark`` (item_id, text) in ``docs`` (doc_id, text): one row per document row and item.
 
     start, stop: words of the document (exclusive stop); same: equal words among them; length:
-    words of the item. A passage has STRETCH words or is the whole of a shorter item (items under
-    13 words must occur word for word), with SAME in 100 equal, after lower-casing and without punctuation.
+    words between its outermost equal ones. A passage has STRETCH words or is the whole of a shorter item,
+    with SAME in 100 equal, after lower-casing and without punctuation.
     Null or empty texts, and items under LEAST words, match nothing. Repeated documents give
     repeated rows; equal items all match. Empty tables give an empty result; further columns are ignored.
 

@@ -99,12 +99,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     own, ties are broken by hashes, so reruns agree; an empty table gives an empty one; further columns are ignored.
 
     Rounding: within a source, documents of like size (quarter powers of two) are dealt into cells of about
-    CELL documents by hash, so no source meets in one task. A document in a cell gets floor(c) - floor(c before) copies,
+    CELL documents by hash (equal rows by their number), so no source and no group of copies meets in one task. A document in a cell gets floor(c) - floor(c before) copies,
     where c runs over the rates; cells in turn begin where the one before ended, and the first of a source at the one of
     the points tried in [0, 1) that brings its words nearest to the target.
     """
-    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("salt")), "mix-sizes")
-    histogram = stored(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("salt"))
+    counted = stored(rows.groupBy("doc_id", "source", "size", "salt").agg(F.count(F.lit(1)).alias("same")), "mix-sizes")
+    histogram = stored(counted.groupBy("source", "size").agg(F.sum("same").alias("n")), "mix-histogram")
+    # equal rows are numbered, many of them by many tasks, and each gets a salt of its own
+    runs = counted.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("same") - 1, F.lit(CELL).cast("long")))).repartition("salt", "first")
+    sized = runs.withColumn("nth", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + CELL, "same") - 1))).select(
+        "doc_id", "source", "size", F.when(F.col("nth") == 0, F.col("salt")).otherwise(F.xxhash64("salt", "nth")).alias("salt"))
     sizes = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     goal = stored(targets(sizes.select("source", "source_size"), weights, cap).alias("t").join(
         sizes.select(F.col("source").alias("s"), "n_docs"), F.col("t.source").eqNullSafe(F.col("s"))).select("t.*", "n_docs"), "mix-targets")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.common import staged
-from kindred.llm.words import BLANK, word_list
+from kindred.llm.words import BLANK, unused, word_list
 
 #: Words in a window of the repeated-word rule.
 WINDOW = 8
@@ -56,29 +56,31 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     judged each for itself; an empty table gives an empty one. A column of the input that is
     called ``ledger`` is replaced. Windows are compared by 64-bit hashes chained over their words.
     """
-    t, w, lines, h = F.col("__text"), F.col("__words"), F.col("__lines"), F.col("__windows")
-    df = docs.drop("ledger").withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    df = staged(df, {"__words": word_list(t),
-                     "__lines": F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)})
+    own = unused(docs, "own_text", "own_words", "own_lines", "own_windows", "own_sorted", "own_places", "own_measures")
+    text_, words_, lines_, windows_, sorted_, places_, measures_ = own
+    t, w, lines, h = F.col(text_), F.col(words_), F.col(lines_), F.col(windows_)
+    df = docs.withColumn(text_, F.coalesce(F.col(text), F.lit(""))).drop("ledger")
+    df = staged(df, {words_: word_list(t),
+                     lines_: F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)})
     n = F.size(w)
     none = F.array().cast("array<bigint>")
-    df = staged(df, {"__windows": F.when(n >= WINDOW, F.transform(
+    df = staged(df, {windows_: F.when(n >= WINDOW, F.transform(
         F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))).otherwise(none)})
     # most texts repeat no window; only the others are sorted
-    df = staged(df, {"__sorted": F.when(F.size(F.array_distinct(h)) < F.size(h), F.array_sort(F.transform(
+    df = staged(df, {sorted_: F.when(F.size(F.array_distinct(h)) < F.size(h), F.array_sort(F.transform(
         h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))})
-    s = F.col("__sorted")
+    s = F.col(sorted_)
     nothing = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
     beside = F.arrays_zip(s.alias("x"), F.concat(nothing, F.slice(s, 1, F.size(s) - 1)).alias("before"),
                           F.concat(F.slice(s, 2, F.size(s)), nothing).alias("after"))
     places = F.array_sort(F.transform(
         F.filter(beside, lambda z: z["x"]["h"].eqNullSafe(z["before"]["h"]) | z["x"]["h"].eqNullSafe(z["after"]["h"])),
         lambda z: z["x"]["i"]))
-    df = staged(df, {"__at": F.coalesce(places, F.array().cast("array<int>"))})
-    at = F.col("__at")
+    df = staged(df, {places_: F.coalesce(places, F.array().cast("array<int>"))})
+    at = F.col(places_)
     covered = F.aggregate(F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW))),
                           F.lit(0).cast("long"), lambda total, x: total + x)
-    df = staged(df, {"__m": F.struct(
+    df = staged(df, {measures_: F.struct(
         _long(n).alias("n_words"),
         _long(F.length(F.array_join(w, ""))).alias("word_chars"),
         _long(F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).alias("n_symbols"),
@@ -87,12 +89,12 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
         covered.alias("n_repeat_words"),
         _long(F.regexp_count(t, F.lit(r"\p{L}[^\x20\x09-\x0D]*"))).alias("n_letter_words"),
         _long(F.regexp_count(t, F.lit(_UPPER_WORD))).alias("n_upper_words"))})
-    m = F.col("__m")
+    m = F.col(measures_)
     failed = F.lit(0).cast("long")
     for name, rule in RULES.items():
         failed = failed + F.when(rule(m), F.lit(BITS[name])).otherwise(F.lit(0)).cast("long")
     return (df.withColumn("ledger", F.struct(*[m[x].alias(x) for x in MEASURES], failed.alias("failed")))
-            .drop("__text", "__words", "__lines", "__windows", "__sorted", "__at", "__m"))
+            .drop(*own))
 
 
 def kept(policy: str | tuple[str, ...], failed: str = "ledger.failed") -> Column:

@@ -29,14 +29,29 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments (RFC 3986); ``..`` above the top stays there."""
+    segments = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
+    last = F.element_at(segments, -1)
+    step = lambda kept, x: (F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
+                            .when(x == ".", kept).otherwise(F.concat(kept, F.array(x))))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    end = F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, end).otherwise(F.lit("")))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), joined).otherwise(path)
+
+
 def address(url: Column) -> Column:
     """The part of a url that a server sees, with its host in lower case; null without a host.
 
-    The fragment goes; scheme, query and path stay as they are.
+    The fragment, the scheme's default port and dot segments go, an empty path is ``/``; the query stays as it is.
     """
     scheme = ascii_lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1))
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host_of(url), rest))
+    port = F.when(scheme == "http", F.lit(":80")).when(scheme == "https", F.lit(":443")).otherwise(F.lit("?"))
+    host = F.when(F.endswith(host_of(url), port), F.regexp_replace(host_of(url), r":\d+$", "")).otherwise(host_of(url))
+    path, query = path_of(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*([^#]*)", 1)
+    path = F.when(path == "", F.lit("/")).otherwise(without_dots(path))
+    return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host, path, query))
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> Column:

@@ -41,6 +41,20 @@ def test_mix_of_many_documents_is_close(spark):
         assert r["expected"] == pytest.approx(r["target"], rel=1e-6) and abs(r["taken"] - r["target"]) <= 0.002 * r["target"] + 1
 
 
+def test_many_equal_rows_are_dealt_to_many_cells(spark, monkeypatch):
+    """Copies of one text without an id, a third of all rows: cells stay small, and reruns agree."""
+    monkeypatch.setattr(mixing, "CELL", 50)
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c d e f g").alias("text"), F.lit("s").alias("source"))
+    other = spark.range(6000).select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit("w"), (F.col("id") % 30).cast("int")), " ").alias("text"),
+                                     F.concat(F.lit("s"), F.when(F.col("id") % 2 == 0, F.col("id") % 5)).alias("source"))
+    df = same.union(other)
+    got = mixing.mix(df)
+    count = lambda x: sorted(str(tuple(r)) for r in x.groupBy("doc_id", "source", "copies", "taken").count().collect())
+    assert got.count() == 9000 and count(got) == count(mixing.mix(df.repartition(7)))
+    copies = {r["copies"]: r["count"] for r in got.where("doc_id IS NULL").groupBy("copies").count().collect()}
+    assert sum(copies.values()) == 3000 and len(copies) <= 2
+
+
 @pytest.mark.parametrize("sizes", [{"a": 0, "b": 0}, {"a": 10}, {"a": 1, "b": 100, None: 50, "é": 7, "z": 0}, {str(i): i * i for i in range(30)}])
 def test_targets(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
@@ -164,6 +178,23 @@ def _page(*links):
     return "<html><head><meta charset='utf-8'>" + "".join(links) + "</head>"
 
 
+def test_dot_segments_and_ports_are_one_address(spark):
+    rows = [("http://H.x/a/b/../c", "http://h.x/a/c"), ("http://h.x/a/./b/.", "http://h.x/a/b/"), ("http://h.x/../../a", "http://h.x/a"),
+            ("http://h.x", "http://h.x/"), ("http://h.x/..", "http://h.x/"), ("https://h.x:443/a?q=/../b#f", "https://h.x/a?q=/../b"),
+            ("http://h.x:443/a", "http://h.x:443/a"), ("http://h.x:80", "http://h.x/"), ("http://h.x/a..b/...", "http://h.x/a..b/..."), ("http://h.x/a//b/../c", "http://h.x/a//c")]
+    got = spark.createDataFrame(rows, "url string, want string").select(urls.address(F.col("url")).alias("got"), "want").collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_relative_links_lead_to_their_pages(spark):
+    """A block reaches pages through links with dots, ports and no path."""
+    link = lambda to: f'<link rel="canonical" href="{to}">'
+    pages = [(1, "http://free.com/x/y/page", link("../../z/./end")), (2, "http://free.com/z/end", link("http://bad.com:80/de/a")),
+             (3, "http://free.com/q/r?s", link("./../up")), (4, "http://free.com/up", link("//bad.com/de/x/..")), (5, "http://free.com/up/", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(df).collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
 def test_rules_of_urls(spark):
     pages = [(i, u, None) for i, (u, _, _) in enumerate(URLS)] + [(0, URLS[0][0], "x")]
     got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("node", F.lit("n"))).collect()
