@@ -266,6 +266,8 @@ _cte("archived", f"SELECT * FROM records WHERE created_at < TIMESTAMP '2000-01-0
 _cte("ev", """SELECT ts, event_id AS batch_id, 1 AS ingress,
   CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS quarantined, value * 100 AS latency_ms FROM events""")
 
+_elements = lambda c: f"array_to_string(list_transform({c}, lambda x: CAST(round(x::DOUBLE * 1000000) AS BIGINT)), ',')"
+_letters = lambda t: "concat_ws(',', " + ", ".join(f"1000000 * (length({t}) - length(replace({t}, '{x}', '')))" for x in "aeinotRS") + ")"
 _day = lambda c, name=None: f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {name or c}"
 _TEXT = """'givenName=' || given_name || ' familyName=' || family_name
   || coalesce(' year=' || {year}, '')
@@ -491,17 +493,24 @@ ORACLE: dict[str, str] = {
   (SELECT record_id FROM vectors)""", "records", "vectors"),
     "embed_hashing": """SELECT CAST(doc_id AS VARCHAR) AS record_id, 'hash-64' AS model_id, 64 AS dim,
   1.0::DOUBLE AS self FROM documents""",
-    "reindex": _with(f"""SELECT CASE WHEN changed THEN 'hash-64' ELSE 'test-64' END AS model_id,
-  count(*) AS vectors, max(CASE WHEN changed THEN {AS_OF} ELSE TIMESTAMP '2001-01-01' END) AS updated_at
-  FROM (SELECT coalesce(created_at >= {AS_OF} OR updated_at >= {AS_OF}, false) AS changed
-    FROM records r FULL OUTER JOIN vectors v USING (record_id)
-    WHERE v.record_id IS NOT NULL OR created_at >= {AS_OF} OR updated_at >= {AS_OF})
-  GROUP BY 1""", "records", "vectors"),
+    "ann_exact": _with("""SELECT query_id, record_id, rank, round(sim, 4) AS score
+  FROM (SELECT query_id, record_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 10) DESC, record_id) AS rank
+    FROM (SELECT query_id, record_id, list_cosine_similarity(q, embedding) AS sim FROM (
+      SELECT a.query_id, list_transform(list_zip(a.query_vector, b.query_vector), lambda z: (z[1] + 0.4::FLOAT * z[2])::FLOAT) AS q
+      FROM query_vectors a JOIN query_vectors b ON b.query_id = a.query_id + 1) CROSS JOIN vectors))
+  WHERE rank <= 5""", "query_vectors", "vectors"),
+    "reindex": _with(f"""SELECT record_id, CASE WHEN changed THEN 'letters' ELSE 'test-64' END AS model_id,
+  strftime(CASE WHEN changed THEN {AS_OF} ELSE TIMESTAMP '2001-01-01' END, '%Y-%m-%d %H:%M:%S') AS updated_at,
+  CASE WHEN changed THEN {_letters('t')} ELSE {_elements('embedding')} END AS elements
+  FROM (SELECT record_id, embedding, {_TEXT.format(year='event_year')} AS t, coalesce(created_at >= {AS_OF} OR updated_at >= {AS_OF}, false) AS changed
+    FROM (SELECT coalesce(r.record_id, v.record_id) AS record_id, r.* EXCLUDE (record_id), v.embedding
+      FROM records r FULL OUTER JOIN vectors v USING (record_id)))
+  WHERE embedding IS NOT NULL OR changed""", "records", "vectors"),
     "reindex_report": _with(f"""SELECT count(*) AS records_processed, count(*) AS chunks_written,
   0::BIGINT AS error_count FROM records WHERE created_at >= {AS_OF} OR updated_at >= {AS_OF}""", "records"),
-    "fill_gaps": _with("""SELECT 'test-64' AS model_id, count(*) AS vectors FROM vectors
-  UNION ALL SELECT 'hash-64', count(*) FROM records WHERE record_id NOT IN (SELECT record_id FROM vectors)""",
-                       "records", "vectors"),
+    "fill_gaps": _with(f"""SELECT record_id, 'test-64' AS model_id, {_elements('embedding')} AS elements FROM vectors
+  UNION ALL SELECT record_id, 'letters', {_letters('t')} FROM (SELECT record_id, {_TEXT.format(year='event_year')} AS t FROM records)
+  WHERE record_id NOT IN (SELECT record_id FROM vectors)""", "records", "vectors"),
     "ocr_fix": f"SELECT doc_id, {_OCR.format('text')} AS text FROM documents",
     "location_std": f"SELECT doc_id, {_place('text')} AS text FROM documents",
     "cleanse": f"SELECT doc_id, {_cleansed('text')} AS text FROM documents",
@@ -576,9 +585,9 @@ ORACLE: dict[str, str] = {
     "upsert_embeddings": f"""SELECT coalesce(n.id, o.id) AS record_id,
   CASE WHEN n.id IS NOT NULL THEN 'v2' ELSE 'test-64' END AS model_id,
   CASE WHEN n.id IS NOT NULL THEN '2000-01-01 00:00:00' ELSE '2001-01-01 00:00:00' END AS updated_at,
-  round(CASE WHEN n.id IS NOT NULL THEN n.v ELSE o.v END, 4) AS v0
-  FROM (SELECT {_rid('vec_id')} AS id, embedding[1]::DOUBLE AS v FROM embeddings) o
-  FULL OUTER JOIN (SELECT {_rid('vec_id + 100')} AS id, embedding[1]::DOUBLE AS v FROM embeddings) n
+  CASE WHEN n.id IS NOT NULL THEN n.v ELSE o.v END AS elements
+  FROM (SELECT {_rid('vec_id')} AS id, {_elements('embedding')} AS v FROM embeddings) o
+  FULL OUTER JOIN (SELECT {_rid('vec_id + 100')} AS id, {_elements('embedding')} AS v FROM embeddings) n
   ON o.id = n.id""",
     "insert_if_absent": _with(f"""SELECT record_id, given_name, family_name, event_year, location, source,
   {_day('created_at')} FROM records
@@ -666,10 +675,20 @@ ORACLE: dict[str, str] = {
   FROM (SELECT b, lag(b) OVER (ORDER BY b) AS p FROM (SELECT {_bucket('15 minutes')} AS b FROM ev
     GROUP BY 1 HAVING max(quarantined) > 0)) WHERE p = b - INTERVAL 15 MINUTE""", "ev"),
     "stream_dedupe": _with(f"SELECT batch_id, {_day('ts')} FROM ev", "ev"),
-    "stream_validate": _with("""SELECT reason, count(*) AS lines FROM (
-  SELECT unnest(CASE WHEN len(reasons) = 0 THEN [''] ELSE reasons END) AS reason FROM ruled)
-  GROUP BY 1""", "ruled"),
+    "stream_first_arrivals": _with(f"SELECT batch_id, {_day('ts')}, 'monday' AS run_of FROM ev", "ev"),
+    "stream_gap_runs": _with("""SELECT monitor, strftime(b + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, length FROM (
+  SELECT *, row_number() OVER (PARTITION BY monitor, start ORDER BY b) AS length FROM (
+    SELECT *, b - to_hours(row_number() OVER (PARTITION BY monitor ORDER BY b)) AS start FROM (
+      SELECT batch_id % 3 AS monitor, date_trunc('hour', ts) AS b FROM ev GROUP BY ALL HAVING max(quarantined) > 0)))
+  WHERE length >= 3""", "ev"),
+    "latency_sketches": _with(f"""SELECT strftime({_bucket('1 day')}, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS events, count(*) AS counted,
+  true AS median_near, true AS high_near FROM ev GROUP BY 1""", "ev"),
+    "stream_validate": _with(f"""SELECT record_id, given_name, family_name, CAST(event_year AS INTEGER) AS event_year,
+  CAST(birth_year AS INTEGER) AS birth_year, location, {_redact('raw_content')} AS raw_content, compute_embedding, extra,
+  NULL::VARCHAR AS reasons, NULL::VARCHAR AS raw FROM ruled WHERE len(reasons) = 0
+  UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, array_to_string(reasons, '|'), CASE WHEN j IS NULL THEN value END
+  FROM ruled WHERE len(reasons) > 0""", "ruled"),
     "stream_upsert": _with(_UPSERTED, "records", "latest"),
-    "stream_embed": """SELECT CAST(doc_id AS VARCHAR) AS record_id, 64 AS dim, 'hash-64' AS model_id
-  FROM documents""",
+    "stream_embed": f"""SELECT CAST(doc_id AS VARCHAR) AS record_id, 'letters' AS model_id, {_letters('t')} AS elements
+  FROM (SELECT doc_id, CASE WHEN {_blank('text')} THEN 'givenName= familyName=' ELSE {_cleansed('text')} END AS t FROM documents)""",
 }

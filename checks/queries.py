@@ -15,13 +15,13 @@ from kindred.functions import rules as ru
 from kindred.functions import text as tx
 from kindred.functions.fields import dest_key, ingest_defaults
 from kindred.operators import candidates as ca
-from kindred.operators import context, embed, graph, health, knn, quality, upsert
+from kindred.operators import context, embed, graph, health, ivf, knn, quality, upsert
 from kindred.operators.lineage import scratch_dir
 from kindred.plans import resolve as rs
 from kindred.plans import validate as va
 from kindred.schemas import RECORDS
-from kindred.sources import archive, bucketed, landing, versioned
-from kindred.streaming import alarms, ingest
+from kindred.sources import archive, bucketed, landing
+from kindred.streaming import alarms, gaps, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2000-01-01 00:00:00"
@@ -212,11 +212,15 @@ def _mixed_queries(spark, sf) -> DataFrame:
     return v.join(other, "query_id").select("query_id", bent.alias("query_vector"))
 
 
+#: Far more cells than so few vectors would get, so that a query's first cells hold few of its neighbours.
+_MANY_CELLS = 64
+
+
 @query
 def ann_recall(spark, sf):
     q, e = _mixed_queries(spark, sf), tb.embeddings(spark, sf)
     exact = knn.nearest(q, e, 5).select("query_id", "record_id")
-    near = knn.ann_search(q, e, 5).select("query_id", "record_id", F.lit(1).alias("hit"))
+    near = knn.ann_search(q, e, 5, cells=_MANY_CELLS).select("query_id", "record_id", F.lit(1).alias("hit"))
     return exact.join(near, ["query_id", "record_id"], "left").agg(
         F.count("*").alias("exact"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_ok"))
 
@@ -224,17 +228,27 @@ def ann_recall(spark, sf):
 @query
 def ann_scores(spark, sf):
     q, e = _mixed_queries(spark, sf), tb.embeddings(spark, sf)
-    found = knn.ann_search(q, e, 5).join(q, "query_id").join(e.select("record_id", "embedding"), "record_id")
+    found = knn.ann_search(q, e, 5, cells=_MANY_CELLS).join(q, "query_id").join(e.select("record_id", "embedding"), "record_id")
     return found.agg(F.countDistinct("query_id").alias("queries"), F.max("rank").alias("most"),
                      F.bool_and(F.abs(F.col("score") - knn.cosine(F.col("embedding"), F.col("query_vector"))) < 1e-6).alias("scores_true"))
 
 
 @query
 def ann_nearest_is_self(spark, sf):
-    return knn.ann_search(tb.query_vectors(spark, sf), tb.embeddings(spark, sf), 1).select(
+    return knn.ann_search(tb.query_vectors(spark, sf), tb.embeddings(spark, sf), 1, cells=_MANY_CELLS).select(
         "query_id", "record_id", r4("score").alias("score"))
 
 
+@query
+def ann_exact(spark, sf):
+    """An index of two additions that is asked for everything: the exact answer, row by row."""
+    e = tb.embeddings(spark, sf)
+    odd = F.xxhash64("record_id") % 2 == 0
+    index = ivf.VectorIndex.build(e.where(odd), scratch_dir(spark, "index"), _MANY_CELLS)
+    index.add(e.where(~odd))
+    return index.search(_mixed_queries(spark, sf), 5, recall=1).select("query_id", "rank", "record_id", r4("score").alias("score"))
+
+
 @query
 def embedding_gaps(spark, sf):
     return embed.embedding_gaps(tb.records(spark, sf), tb.embeddings(spark, sf)).select("record_id")
@@ -255,12 +269,24 @@ def embed_hashing(spark, sf):
                       F.round(knn.cosine(F.col("embedding"), F.col("embedding")), 3).alias("self"))
 
 
+def _elements(c: str = "embedding") -> Column:
+    """All elements of a vector in millionths."""
+    return F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * 1_000_000).cast("long").cast("string")), ",")
+
+
+class _LetterEmbedder:
+    """How often some letters occur: a vector that SQL can work out as well."""
+
+    def embed(self, texts: DataFrame) -> DataFrame:
+        t = F.coalesce("text", F.lit(""))
+        counts = [(F.length(t) - F.length(F.replace(t, F.lit(x), F.lit("")))).cast("float") for x in "aeinotRS"]
+        return texts.select("record_id", F.array(*counts).alias("embedding"), F.lit(None).cast("string").alias("error"))
+
+
 @query
 def reindex(spark, sf):
-    done = embed.reindex(tb.records(spark, sf), tb.embeddings(spark, sf), embed.HashingEmbedder(64),
-                         "hash-64", AS_OF, since=AS_OF)
-    return done.embeddings.groupBy("model_id").agg(
-        F.count("*").alias("vectors"), F.max("updated_at").alias("updated_at"))
+    done = embed.reindex(tb.records(spark, sf), tb.embeddings(spark, sf), _LetterEmbedder(), "letters", AS_OF, since=AS_OF)
+    return done.embeddings.select("record_id", "model_id", _ymd("updated_at"), _elements().alias("elements"))
 
 
 @query
@@ -271,9 +297,8 @@ def reindex_report(spark, sf):
 
 @query
 def fill_gaps(spark, sf):
-    return embed.fill_gaps(tb.records(spark, sf), tb.embeddings(spark, sf),
-                           embed.HashingEmbedder(64), "hash-64", AS_OF).groupBy("model_id").agg(
-        F.count("*").alias("vectors"))
+    return embed.fill_gaps(tb.records(spark, sf), tb.embeddings(spark, sf), _LetterEmbedder(), "letters", AS_OF).select(
+        "record_id", "model_id", _elements().alias("elements"))
 
 
 # --- text -------------------------------------------------------------------
@@ -463,10 +488,10 @@ def upsert_records(spark, sf):
 @query
 def upsert_embeddings(spark, sf):
     incoming = tb.table(spark, sf, "embeddings").select(
-        F.concat(F.lit("R-"), F.lpad((F.col("vec_id") + 100).cast("string"), 8, "0")).alias("record_id"),
+        tb.record_id(F.col("vec_id") + 100).alias("record_id"),
         "embedding", F.lit("v2").alias("model_id"), F.col("vec_id").alias("arrival"))
     return upsert.upsert_embeddings(tb.embeddings(spark, sf), incoming, AS_OF).select(
-        "record_id", "model_id", _ymd("updated_at"), r4(F.col("embedding")[0].cast("double")).alias("v0"))
+        "record_id", "model_id", _ymd("updated_at"), _elements().alias("elements"))
 
 
 @query
@@ -704,64 +729,104 @@ def _finish(spark: SparkSession, writer: DataStreamWriter, checkpoint: str) -> N
     running.awaitTermination()
 
 
-def _run(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now into versioned Parquet and read the result."""
-    path = scratch_dir(spark, "stream")
-    _finish(spark, stream.writeStream.outputMode(mode).foreachBatch(
-        lambda df, epoch: versioned.write_version(df, f"{path}/out", epoch)), f"{path}/checkpoint")
-    if mode == "complete":
-        return versioned.read_version(spark, f"{path}/out")
-    return spark.read.parquet(f"{path}/out").drop("version")
-
-
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     return tb.as_ingest_events(spark.readStream.schema(schema).option(
         "pathGlobFilter", "events.parquet").parquet(sf))
 
 
+def _in_parts(spark: SparkSession, sf: str, job: Callable[[DataFrame], DataFrame], end: str = "window_end", **extra: Column) -> DataFrame:
+    """What ``job`` appends over all events, which come in two parts, the stream started anew for each, and a late one that closes all windows."""
+    path = scratch_dir(spark, "stream")
+    events = tb.ingest_events(spark, sf).withColumns(extra)
+    ends = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    middle = F.lit(ends.lo + (ends.hi - ends.lo) / 2)
+    closing = events.orderBy(F.col("ts").desc(), "batch_id").limit(1).withColumn("ts", F.lit(ends.hi) + F.expr("interval 30 days"))
+    for part in (events.where(F.col("ts") < middle), events.where(F.col("ts") >= middle), closing):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = job(spark.readStream.schema(events.schema).parquet(f"{path}/in"))
+        _finish(spark, stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out"), f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").where(F.col(end) <= F.lit(ends.hi) + F.expr("interval 2 days"))
+
+
 @query
 def stream_quarantine_spike(spark, sf):
-    return _run(spark, alarms.quarantine_spike(_event_stream(spark, sf), "1 day", 50)).select(
+    return _in_parts(spark, sf, lambda e: alarms.quarantine_spike(e, "1 day", 50)).select(
         _ymd("window_start"), "quarantined")
 
 
 @query
 def stream_ingress(spark, sf):
-    return _run(spark, alarms.ingress_counts(_event_stream(spark, sf), "5 minutes")).select(
+    return _in_parts(spark, sf, alarms.ingress_counts).select(
         _ymd("window_start"), "ingress", "quarantined", r4("rate").alias("rate"))
 
 
 @query
 def stream_rate(spark, sf):
-    return _run(spark, alarms.stream_ingest_rate(_event_stream(spark, sf))).select(
+    return _in_parts(spark, sf, alarms.stream_ingest_rate).select(
         _ymd("window_start"), "records", "rate_per_min")
 
 
 @query
 def stream_errors(spark, sf):
-    events = _event_stream(spark, sf).withColumn("errors", F.col("quarantined"))
-    return _run(spark, alarms.error_alarm(events)).select(_ymd("window_start"), "errors")
+    return _in_parts(spark, sf, alarms.error_alarm, errors=F.col("quarantined")).select(_ymd("window_start"), "errors")
 
 
 @query
 def stream_latency(spark, sf):
-    return _run(spark, alarms.latency_percentiles(_event_stream(spark, sf))).select(
+    return _in_parts(spark, sf, alarms.latency_percentiles).select(
         _ymd("window_start"), r4("p50").alias("p50"), r4("p99").alias("p99"), "alarm")
 
 
+@query
+def latency_sketches(spark, sf):
+    """Sketches of five minutes appended by a stream, then merged to days: their quantiles against the exact ranks."""
+    stored = _in_parts(spark, sf, alarms.latency_sketches)
+    days = alarms.sketch_percentiles(alarms.merge_sketches(stored, "1 day"))
+    events = tb.ingest_events(spark, sf).withColumn("window_start", F.window("ts", "1 day")["start"])
+    below = lambda p: F.sum((F.col("latency_ms") < F.col(p)).cast("int")) / F.count("*")
+    upto = lambda p: F.sum((F.col("latency_ms") <= F.col(p)).cast("int")) / F.count("*")
+    near = lambda p, q: (below(p) <= q + 0.0165) & (upto(p) >= q - 0.0165)
+    return events.join(days, "window_start").groupBy("window_start").agg(
+        F.count("*").alias("events"), F.first("n").alias("counted"), near("p50", 0.5).alias("median_near"), near("p99", 0.99).alias("high_near")).select(
+        _ymd("window_start"), "events", "counted", "median_near", "high_near")
+
+
 @query
 def stream_gap_alarm(spark, sf):
-    events = _event_stream(spark, sf).withColumn("gap_count", F.col("quarantined"))
-    return _run(spark, alarms.gap_alarm(events)).select(_ymd("window_end"))
+    return _in_parts(spark, sf, alarms.gap_alarm, gap_count=F.col("quarantined")).select(_ymd("window_end"))
+
+
+@query
+def stream_gap_runs(spark, sf):
+    """Runs of three hours with an error, per shard of the batches, as keyed state that survives two restarts."""
+    name, store = gaps.STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        runs = _in_parts(spark, sf, lambda e: gaps.gap_runs(e, "1 hour", 3), gap_count=F.col("quarantined"), monitor=F.col("batch_id") % 3)
+    finally:
+        spark.conf.set(name, before)
+    return runs.select("monitor", _ymd("window_end"), "length")
 
 
 @query
 def stream_dedupe(spark, sf):
     events = _event_stream(spark, sf)
-    twice = events.unionByName(events)
-    return _run(spark, ingest.dedupe_arrivals(twice, ["batch_id"]), "append").select(
-        "batch_id", _ymd("ts"))
+    path = scratch_dir(spark, "dedupe")
+    _finish(spark, ingest.dedupe_arrivals(events.unionByName(events), ["batch_id"]).writeStream.format("parquet").option("path", f"{path}/out"),
+            f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").select("batch_id", _ymd("ts"))
+
+
+@query
+def stream_first_arrivals(spark, sf):
+    """All events, and weeks later all of them again through a new checkpoint: what is kept is the first delivery."""
+    path = scratch_dir(spark, "first")
+    for run in ("monday", "replay"):
+        events = _event_stream(spark, sf).withColumn("run_of", F.lit(run))
+        _finish(spark, ingest.stream_first_arrivals(events.unionByName(events), ["batch_id"], f"{path}/out", run, buckets=8), f"{path}/{run}")
+    return spark.read.parquet(f"{path}/out/rows").select("batch_id", _ymd("ts"), "run_of")
 
 
 @query
@@ -793,9 +858,12 @@ def stream_validate(spark, sf):
      .write.text(f"{path}/in"))
     lines = ingest.stream_landing(spark, f"{path}/in", suffixes=[".txt"])
     _finish(spark, ingest.stream_validate(lines, f"{path}/out", AS_OF), f"{path}/checkpoint")
-    good = spark.read.parquet(f"{path}/out/validated").select(F.lit("").alias("reason"))
-    bad = spark.read.parquet(f"{path}/out/quarantine").select(F.explode("reasons").alias("reason"))
-    return good.unionByName(bad).groupBy("reason").agg(F.count("*").alias("lines"))
+    # files and line numbers are the writer's here, everything else is compared
+    none = F.lit(None).cast("string")
+    good = spark.read.parquet(f"{path}/out/validated").select(
+        "record_id", "given_name", "family_name", "event_year", "birth_year", "location", "raw_content", "compute_embedding", "extra", none.alias("reasons"), none.alias("raw"))
+    bad = spark.read.parquet(f"{path}/out/quarantine").select(joined("reasons").alias("reasons"), "raw")
+    return good.unionByName(bad, allowMissingColumns=True)
 
 
 @query
@@ -818,6 +886,7 @@ def stream_embed(spark, sf):
         F.col("doc_id").cast("string").alias("record_id"), F.lit("").alias("given_name"),
         F.lit("").alias("family_name"), F.lit(None).cast("int").alias("event_year"),
         F.lit(None).cast("string").alias("location"), F.col("text").alias("raw_content"))
-    out = ingest.stream_embed(docs, embed.HashingEmbedder(64), "hash-64", AS_OF)
-    return _run(spark, out.drop("error"), "append").select(
-        "record_id", F.size("embedding").alias("dim"), "model_id")
+    out = ingest.stream_embed(docs, _LetterEmbedder(), "letters", AS_OF).drop("error")
+    path = scratch_dir(spark, "embed")
+    _finish(spark, out.writeStream.format("parquet").option("path", f"{path}/out"), f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").select("record_id", "model_id", _elements().alias("elements"))

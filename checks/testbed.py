@@ -34,7 +34,7 @@ def _family(custkey: Column) -> Column:
                     F.when(custkey >= 960, second).otherwise(""))
 
 
-def _record_id(key: Column) -> Column:
+def record_id(key: Column) -> Column:
     text = key.cast("string")
     return F.concat(F.lit("R-"), F.when(F.length(text) < 8, F.lpad(text, 8, "0")).otherwise(text))
 
@@ -47,7 +47,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     born = F.lit(1755) + (cust * 37) % 90 + F.when(key % 11 == 0, 15).otherwise(0)
     created = F.col("o_orderdate")
     return o.join(c, cust == F.col("c_custkey")).select(
-        _record_id(key).alias("record_id"),
+        record_id(key).alias("record_id"),
         cust.alias("person_id"),
         _pick(GIVEN, cust % 24).alias("given_name"),
         _family(cust).alias("family_name"),
@@ -80,7 +80,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
-        _record_id(F.col("vec_id")).alias("record_id"),
+        record_id(F.col("vec_id")).alias("record_id"),
         "embedding",
         F.lit("test-64").alias("model_id"),
         F.lit("2001-01-01 00:00:00").cast("timestamp").alias("updated_at"),
@@ -117,7 +117,7 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = lambda text: F.concat(F.lit('"'), text, F.lit('"'))
     num = lambda n: n.cast("string")
     fields = [
-        F.concat(F.lit('"recordId":'), F.when(kind == 19, "null").when(kind == 59, q(F.lit("0"))).otherwise(q(_record_id(key)))),
+        F.concat(F.lit('"recordId":'), F.when(kind == 19, "null").when(kind == 59, q(F.lit("0"))).otherwise(q(record_id(key)))),
         F.concat(F.lit('"givenName":'), q(F.when(
             kind == 43, F.concat(F.lit("  "), F.lower(given), F.lit(" "))).otherwise(given))),
         F.when(kind != 17, F.concat(F.lit('"familyName":'), q(
@@ -159,7 +159,7 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     key, part = F.col("l_orderkey"), F.col("l_partkey")
     return li.select(
-        _record_id(F.when(F.col("l_suppkey") % 3 == 0, key + 10_000_000).otherwise(key)).alias("record_id"),
+        record_id(F.when(F.col("l_suppkey") % 3 == 0, key + 10_000_000).otherwise(key)).alias("record_id"),
         _pick(GIVEN, part % 24).alias("given_name"),
         _family(part).alias("family_name"),
         F.when(part % 7 != 0, F.lit(1830) + part % 60).cast("int").alias("event_year"),

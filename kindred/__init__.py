@@ -2,7 +2,7 @@
 
 ``functions``  column expressions: text cleansing, field rules, travel, conflict rules
 ``operators``  DataFrame -> DataFrame building blocks: search, vectors, upsert, graph, health
-``sources``    landing files, archives and versioned tables
+``sources``    landing files, archives and bucketed tables
 ``plans``      end-to-end compositions: validation, ingest, resolution
 ``streaming``  the same jobs on Structured Streaming
 """

@@ -2,8 +2,8 @@
 
 Exact search streams the stored vectors through tasks that hold a block of queries: nothing
 of them is shuffled, and a task keeps the best ``k`` per query. Query blocks are broadcast one
-after another, each of a bounded number of bytes. Approximate search lets hash cells
-decide which blocks meet. No pair of vectors is ever a row but for the best ones.
+after another, each of a bounded number of bytes. Approximate search goes through a stored
+index (``ivf``). No pair of vectors is ever a row but for the best ones.
 """
 
 from __future__ import annotations
@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 
 from kindred.functions.text import snippet
 from kindred.functions.vectors import cosine
-from kindred.operators.lineage import durable
+from kindred.operators.ivf import RECALL, VectorIndex
+from kindred.operators.lineage import durable, scratch_dir
 from kindred.operators.ranking import top_k
 
-QUERY_BLOCK = 1024
-RECORD_BLOCK = 16384
 #: Bytes of query vectors that are broadcast at once, and score cells that a task holds at once.
 QUERY_BYTES = 64 << 20
 SCORES = 4_000_000
@@ -76,22 +75,6 @@ def _scores(q: np.ndarray, e: np.ndarray) -> np.ndarray:
     return np.round(q @ e.T, 10)
 
 
-def _best_in_block(k: int, min_score: float):
-    def best(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or e.empty:
-            return pd.DataFrame({"query_id": [], "record_id": [], "score": []})
-        e = e.sort_values("record_id", kind="stable")
-        units, found = _unit(q["vector"]), []
-        for i in range(0, len(e), step := max(1, SCORES // len(q))):
-            part = e.iloc[i:i + step]
-            scores = _scores(units, _unit(part["vector"]))
-            row, col = _top_cells(scores, k, min_score)
-            found.append(pd.DataFrame({"query_id": q["query_id"].to_numpy()[row],
-                                       "record_id": part["record_id"].to_numpy()[col], "score": scores[row, col]}))
-        return _first(pd.concat(found), k)
-    return best
-
-
 def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
     return (found.sort_values(["score", "record_id"], ascending=[False, True], kind="stable")
             .groupby("query_id", sort=False).head(k))
@@ -118,33 +101,6 @@ def _stream_best(shared, k: int, min_score: float):
     return best
 
 
-def _block_top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: float) -> DataFrame:
-    """Best ``k`` per query among the vectors that share its ``cell``.
-
-    Both sides: id, ``vector``, ``cell``. The cells' sizes decide how many blocks each side is cut into, so a cell
-    that holds most of the rows is spread over many tasks.
-    """
-    blocks = lambda df, size, name: df.groupBy("cell").agg(
-        F.ceil(F.count("*") / F.lit(size)).cast("int").alias(name))
-    sizes = blocks(queries, QUERY_BLOCK, "q_blocks").join(
-        blocks(vectors, RECORD_BLOCK, "e_blocks"), "cell")
-    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = (queries.join(sizes, "cell")
-         .select("cell", "query_id", "vector", part("query_id", "q_blocks").alias("qb"),
-                 copies("e_blocks").alias("eb")))
-    e = (vectors.join(sizes, "cell")
-         .select("cell", "record_id", "vector", part("record_id", "e_blocks").alias("eb"),
-                 copies("q_blocks").alias("qb")))
-    keys = ["cell", "qb", "eb"]
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    found = q.groupBy(*keys).cogroup(e.groupBy(*keys)).applyInPandas(
-        _best_in_block(k, min_score), f"query_id {id_type}, record_id string, score double")
-    # a pair may meet in several cells
-    best = found.groupBy("query_id", "record_id").agg(F.max("score").alias("score"))
-    return top_k(best, ["query_id"], [F.col("score").desc(), F.col("record_id")], k, rank="rank")
-
-
 def nearest(query_vectors: DataFrame, embeddings: DataFrame, k: int = 5,
             min_score: float = -1.0, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, record_id, score, rank): exact ``k`` nearest by cosine, score >= ``min_score``.
@@ -201,41 +157,11 @@ def semantic_search(query_vectors: DataFrame, records: DataFrame, embeddings: Da
         F.coalesce("snippet", F.lit("")).alias("snippet"), "metadata")
 
 
-def _lsh_cells(tables: int, bits: int, seed: int):
-    """Pandas UDF: one cell number per hash table, from the signs of random projections."""
-    @F.pandas_udf("array<bigint>")
-    def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        planes = None
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        offsets = np.arange(tables, dtype=np.int64) << bits
-        for vectors in batches:
-            if vectors.empty:
-                yield pd.Series([], dtype=object)
-                continue
-            m = np.stack(vectors.to_numpy())
-            if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((m.shape[1], tables * bits))
-            side = (m @ planes > 0).reshape(len(m), tables, bits)
-            yield pd.Series(list(side @ weights + offsets))
-    return cells
-
-
-def ann_search(query_vectors: DataFrame, embeddings: DataFrame, k: int = 5, tables: int = 16,
-               bits: int | None = None, seed: int = 7) -> DataFrame:
-    """(query_id, record_id, score, rank): approximate ``k`` nearest by cosine.
-
-    Random-hyperplane hashing: a query is scored against the vectors that share a
-    cell with it in any of the tables. ``bits`` per table come from the number of stored vectors, about 10,000 to a
-    cell, unless given. Of exact copies only the first ``k`` ids are kept before hashing, since
-    no more of them can be in an answer; copies are found by hash and id, without their vectors.
+def ann_search(query_vectors: DataFrame, embeddings: DataFrame, k: int = 5, cells: int | None = None,
+               recall: float = RECALL, seed: int = 7) -> DataFrame:
+    """(query_id, record_id, score, rank): approximate ``k`` nearest by cosine, through an index made for this call.
+
+    For more than one call build a ``VectorIndex`` and keep it.
     """
-    stored = embeddings.select("record_id", F.col("embedding").alias("vector"))
-    if bits is None:
-        bits = min(40, max(2, int(np.log2(max(1, stored.count()) / 10_000 + 1)) + 1))
-    cell = _lsh_cells(tables, bits, seed)
-    spread = lambda df: df.withColumn("cell", F.explode(cell(F.col("vector"))))
-    ids = stored.select("record_id", F.xxhash64("vector").alias("_h1"), F.hash("vector").alias("_h2"))
-    first = top_k(ids, ["_h1", "_h2"], [F.col("record_id")], k).select("record_id")
-    q = query_vectors.select("query_id", F.col("query_vector").alias("vector")).where(
-        "vector is not null")
-    return _block_top_k(spread(q), spread(stored.join(first, "record_id", "left_semi")), k, -1.0)
+    index = VectorIndex.build(embeddings, scratch_dir(embeddings.sparkSession, "vectors"), cells, seed)
+    return index.search(query_vectors, k, recall)

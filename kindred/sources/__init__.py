@@ -1 +1 @@
-"""Landing files, archives and versioned tables."""
+"""Landing files, archives and bucketed tables."""

@@ -55,6 +55,29 @@ def latency_percentiles(events: DataFrame, window: str = "5 minutes",
         (F.col("p")[1] > threshold).alias("alarm"))
 
 
+def latency_sketches(events: DataFrame, window: str = "5 minutes", size: int = 200) -> DataFrame:
+    """(window_start, window_end, n, sketch): a mergeable sketch (KLL) of the latencies of each window, to be stored.
+
+    A sketch of ``size`` gives any quantile at a rank that is off by about 1.65 % of the events at most (99 % of the
+    times), whatever their number; its bytes grow with the logarithm of that. Null latencies do not count.
+    """
+    sketch = F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), size)
+    return windowed(events.where("latency_ms IS NOT NULL"), window, {"n": F.count("*"), "sketch": sketch})
+
+
+def merge_sketches(sketches: DataFrame, window: str, size: int = 200) -> DataFrame:
+    """Stored sketches summed up to longer windows (hours, days), without the events."""
+    w = F.window("window_start", window)
+    merged = sketches.groupBy(w.alias("w")).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", size).alias("sketch"))
+    return merged.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "sketch")
+
+
+def sketch_percentiles(sketches: DataFrame, threshold: float = LATENCY_LIMIT_MS) -> DataFrame:
+    """Median and 99th percentile of each sketch, and whether the latter breaches the limit."""
+    at = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(q))
+    return sketches.select("window_start", "window_end", "n", at(0.5).alias("p50"), at(0.99).alias("p99"), (at(0.99) > threshold).alias("alarm"))
+
+
 def error_alarm(events: DataFrame, window: str = "5 minutes") -> DataFrame:
     """Windows with at least one error."""
     return windowed(events, window, {"errors": F.sum("errors")}).where(F.col("errors") > 0)

@@ -12,7 +12,7 @@ from kindred.operators.embed import Embedder, embed_records
 from kindred.operators.lineage import durable
 from kindred.operators.upsert import upsert_records
 from kindred.plans.validate import quarantine_manifest, route
-from kindred.sources.bucketed import BUCKET, bucket_of, read_buckets, write_buckets
+from kindred.sources.bucketed import BUCKET, bucket_count, bucket_of, create_buckets, read_buckets, write_buckets
 from kindred.sources.landing import NDJSON_SUFFIXES, is_landing_key, number_lines
 
 
@@ -35,8 +35,7 @@ def stream_validate(lines: DataFrame, out: str, at=None) -> DataStreamWriter:
     def write(batch: DataFrame, epoch: int) -> None:
         # read and number the files once for the three writes
         validated, quarantine = route(durable(number_lines(batch)), f"epoch-{epoch}")
-        stamp = at if at is not None else str(batch.sparkSession.sql(
-            "select current_timestamp()").first()[0])
+        stamp = at if at is not None else _now(batch.sparkSession)
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{out}/{name}/epoch={epoch}")
         put(validated, "validated")
         # the record as JSON text, so that a stored quarantine can be replayed
@@ -46,34 +45,70 @@ def stream_validate(lines: DataFrame, out: str, at=None) -> DataStreamWriter:
     return lines.writeStream.foreachBatch(write)
 
 
+def _now(spark: SparkSession) -> str:
+    return str(spark.sql("select current_timestamp()").first()[0])
+
+
 def dedupe_arrivals(arrivals: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
-    """First arrival per key within the delay (at-least-once delivery made idempotent)."""
+    """First arrival per key within the delay (at-least-once delivery made idempotent).
+
+    The keys are forgotten after the delay; ``stream_first_arrivals`` never forgets.
+    """
     if not arrivals.isStreaming:
         return arrivals.dropDuplicates(keys)
     return arrivals.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_upsert(arrivals: DataFrame, table: str, empty: DataFrame, at,
+def stream_first_arrivals(arrivals: DataFrame, keys: list[str], out: str, run: str, buckets: int = 256) -> DataStreamWriter:
+    """First arrival per key ever, to ``out/rows/run=.../epoch=N``; which keys came is kept under ``out/seen`` in hash buckets.
+
+    A micro-batch reads the seen keys of its own buckets only. ``run`` names the checkpoint: a replay of old files through a new
+    checkpoint, under another name, adds nothing, however much later. A batch that was cut off is run again under its name and epoch; keys
+    that it had noted already do not count against itself, so its rows come out whole. Of equal keys in a batch one row stays; null keys are
+    keys like others. ``buckets`` is kept from the first batch on.
+    """
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+
+    def take(batch: DataFrame, epoch: int) -> None:
+        spark, seen = batch.sparkSession, f"{out}/seen"
+        n = bucket_count(spark, seen)
+        if n is None:
+            n = buckets
+            create_buckets(spark.createDataFrame([], "key string, run string, epoch long"), seen, "key", n)
+        rows = durable(batch.withColumn("_key", key).dropDuplicates(["_key"]).withColumn(BUCKET, bucket_of("_key", n)))
+        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # at most ``buckets`` whole numbers
+        before = spark.read.schema(f"key string, run string, epoch long, {BUCKET} int").parquet(seen)
+        old = before.where(F.col(BUCKET).isin(touched) & ~((F.col("run") == run) & (F.col("epoch") == epoch)))
+        fresh = durable(rows.join(old.select(F.col("key").alias("_key"), BUCKET), [BUCKET, "_key"], "left_anti"))
+        (fresh.select(F.col("_key").alias("key"), F.lit(run).alias("run"), F.lit(epoch).cast("long").alias("epoch"), BUCKET)
+         .hint("rebalance", BUCKET).write.mode("append").partitionBy(BUCKET).parquet(seen))
+        fresh.drop("_key", BUCKET).write.mode("overwrite").parquet(f"{out}/rows/run={run}/epoch={epoch}")
+
+    return arrivals.writeStream.foreachBatch(take)
+
+
+def stream_upsert(arrivals: DataFrame, table: str, empty: DataFrame, at=None,
                   buckets: int = 256) -> DataStreamWriter:
     """Merge each micro-batch of arrivals into a bucketed records table, last one wins.
 
-    ``empty`` is what the table starts from. A batch is written once and rewrites only the buckets of its ids.
-    Merging a batch again changes nothing, so a batch that was cut off is simply run again.
+    ``empty`` is what the table starts from, ``buckets`` how many it starts with. A batch is written once and rewrites only the buckets of its
+    ids. Rows are stamped with ``at``, or else with the time of their batch.
+    Merging a batch again changes nothing but that time, so a batch that was cut off is simply run again.
     """
     schema = empty.schema
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        current = read_buckets(spark, table, schema)
-        if current is None:
-            write_buckets(empty.withColumn(BUCKET, bucket_of("record_id", buckets)), table)
-            current = read_buckets(spark, table, schema)
-        incoming = durable(batch.withColumn(BUCKET, bucket_of("record_id", buckets)))
+        n = bucket_count(spark, table)
+        if n is None:
+            n = buckets
+            create_buckets(empty, table, "record_id", n)
+        incoming = durable(batch.withColumn(BUCKET, bucket_of("record_id", n)))
         # at most ``buckets`` whole numbers, so that only their folders are read
         touched = [r[0] for r in incoming.select(BUCKET).distinct().collect()]
-        old = current.where(F.col(BUCKET).isin(touched)).drop(BUCKET)
-        merged = upsert_records(old, incoming.drop(BUCKET), at)
-        write_buckets(durable(merged.withColumn(BUCKET, bucket_of("record_id", buckets))), table)
+        old = read_buckets(spark, table, schema).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+        merged = upsert_records(old, incoming.drop(BUCKET), at if at is not None else _now(spark))
+        write_buckets(durable(merged.withColumn(BUCKET, bucket_of("record_id", n))), table)
 
     return arrivals.writeStream.foreachBatch(merge)
 

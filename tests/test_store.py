@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators import health, quality, upsert
 from kindred.schemas import RECORDS
-from kindred.sources import archive, versioned
+from kindred.sources import archive
 
 T0, T1 = "1999-01-01 00:00:00", "2000-01-01 00:00:00"
 
@@ -64,16 +64,6 @@ def test_archive(spark, tmp_path):
     assert archive.archive_counts(both).first().total == 3
 
 
-def test_versions(spark, tmp_path):
-    path = str(tmp_path / "v")
-    assert versioned.read_version(spark, path) is None
-    for v, n in ((0, 3), (1, 5), (1, 4)):
-        versioned.write_version(spark.range(n), path, v)
-    (tmp_path / "v" / "version=2").mkdir()                     # a writer that died
-    assert versioned.read_version(spark, path).count() == 4
-    assert versioned.read_version(spark, path, before=1).count() == 3
-
-
 def test_health_and_costs(spark):
     r = store(spark, [(k, "a", "f", T0) for k in "ABC"])
     e = spark.createDataFrame([("A",)], "record_id string")

@@ -33,9 +33,7 @@ def vectors(spark, n, copies, seed=0):
 
 
 @pytest.mark.parametrize("copies", [False, True])
-def test_nearest_equals_brute_force_over_many_blocks(spark, monkeypatch, copies):
-    monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(knn, "RECORD_BLOCK", 20)
+def test_nearest_equals_brute_force_over_many_blocks(spark, copies):
     m, e = vectors(spark, 120, copies)
     q = e.select(F.col("record_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     u = m.astype("float64") / np.linalg.norm(m.astype("float64"), axis=1, keepdims=True)
@@ -44,7 +42,7 @@ def test_nearest_equals_brute_force_over_many_blocks(spark, monkeypatch, copies)
             for r, j in enumerate(sorted(range(120), key=lambda j: (-s[i, j], j))[:5])}
     got = {(r.query_id, r.rank): r.record_id for r in knn.nearest(q, e, 5).collect()}
     assert got == want
-    near = knn.ann_search(q, e, 5, tables=12, bits=2).collect()
+    near = knn.ann_search(q, e, 5, cells=12).collect()
     assert sum(want.get((r.query_id, r.rank)) == r.record_id for r in near) > 0.9 * len(want)
 
 
