@@ -131,7 +131,7 @@ def _document_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
     def out() -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()).cast(pa.string()),
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(counts)), pa.array(list(counts), pa.binary()).cast(pa.string()),
                                               pa.array(list(counts.values()), pa.int64())], ["lang", "term", "n"])
         held.clear()
 
@@ -197,7 +197,7 @@ def _recount(shared):
             for (lang, source, k), counts in dense.items():
                 slot = np.flatnonzero(counts)
                 if len(slot):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot), pa.string()), pa.array([source] * len(slot), pa.string()),
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(slot)), pa.repeat(pa.scalar(source, pa.string()), len(slot)),
                                                       pa.array(np.full(len(slot), k)), pa.array(slot), pa.array(counts[slot])], ["lang", "source", "shard", "slot", "n"])
             dense.clear()
 

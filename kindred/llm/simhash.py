@@ -53,10 +53,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc (long, null as NO_ID), fingerprint (long) and the carried columns."""
-    schema = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(doc_key(F.col("doc_id")).alias("doc"), F.col("text").alias("text"), *carry).mapInArrow(
-        _fingerprints, "doc long, fingerprint long" + schema)
+    """``docs`` (doc_id, text) -> doc (long, null as NO_ID), fingerprint (long) and, if any, ``carried``: a struct of further columns."""
+    rows = docs.select(doc_key(F.col("doc_id")).alias("doc"), F.col("text").alias("text"), *[F.struct(*carry).alias("carried")][:len(carry)])
+    schema = "".join(f", carried {f.dataType.simpleString()}" for f in rows.schema if f.name == "carried")
+    return rows.mapInArrow(_fingerprints, "doc long, fingerprint long" + schema)
 
 
 def tree_edges(points: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,4 +212,4 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     ids = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     answer = grouped.join(ids, "component").select("fingerprint", "component_id", "component")
     out = own.join(answer, "fingerprint")
-    return out.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "fingerprint", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"), "component", *carry)
+    return out.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "fingerprint", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"), "component", *[f"carried.{c}" for c in carry])
