@@ -493,7 +493,7 @@ ORACLE: dict[str, str] = {
   (SELECT record_id FROM vectors)""", "records", "vectors"),
     "embed_hashing": """SELECT CAST(doc_id AS VARCHAR) AS record_id, 'hash-64' AS model_id, 64 AS dim,
   1.0::DOUBLE AS self FROM documents""",
-    "ann_exact": _with("""SELECT query_id, record_id, rank, round(sim, 4) AS score
+    "ann_exact": _with("""SELECT query_id, record_id, rank, round(round(sim, 10), 3) AS score
   FROM (SELECT query_id, record_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 10) DESC, record_id) AS rank
     FROM (SELECT query_id, record_id, list_cosine_similarity(q, embedding) AS sim FROM (
       SELECT a.query_id, list_transform(list_zip(a.query_vector, b.query_vector), lambda z: (z[1] + 0.4::FLOAT * z[2])::FLOAT) AS q

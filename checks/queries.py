@@ -246,7 +246,7 @@ def ann_exact(spark, sf):
     odd = F.xxhash64("record_id") % 2 == 0
     index = ivf.VectorIndex.build(e.where(odd), scratch_dir(spark, "index"), _MANY_CELLS)
     index.add(e.where(~odd))
-    return index.search(_mixed_queries(spark, sf), 5, recall=1).select("query_id", "rank", "record_id", r4("score").alias("score"))
+    return index.search(_mixed_queries(spark, sf), 5, recall=1).select("query_id", "rank", "record_id", F.round("score", 3).alias("score"))
 
 
 @query
