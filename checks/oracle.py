@@ -675,6 +675,11 @@ ORACLE: dict[str, str] = {
   FROM (SELECT b, lag(b) OVER (ORDER BY b) AS p FROM (SELECT {_bucket('15 minutes')} AS b FROM ev
     GROUP BY 1 HAVING max(quarantined) > 0)) WHERE p = b - INTERVAL 15 MINUTE""", "ev"),
     "stream_dedupe": _with(f"SELECT batch_id, {_day('ts')} FROM ev", "ev"),
+    "kept_counts": _with(f"""SELECT lower(location) AS l, event_year AS y, concat_ws(' ', given_name, family_name) AS name, count(*) AS n
+  FROM ({_UPSERTED}) WHERE event_year IS NOT NULL AND NOT coalesce(strptime(created_at, '%Y-%m-%d %H:%M:%S') < {AS_OF} - INTERVAL 365 DAY, false)
+  GROUP BY ALL""", "records", "latest"),
+    "metered_lines": _with("""SELECT source_key, count(*) FILTER (len(reasons) = 0) AS lines, sum(count(*) FILTER (len(reasons) = 0)) OVER ()::BIGINT AS validated,
+  sum(count(*) FILTER (len(reasons) > 0)) OVER ()::BIGINT AS quarantined FROM ruled GROUP BY 1 QUALIFY lines > 0""", "ruled"),
     "stream_first_arrivals": _with(f"SELECT batch_id, {_day('ts')}, 'monday' AS run_of FROM ev", "ev"),
     "stream_gap_runs": _with("""SELECT monitor, strftime(b + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, length FROM (
   SELECT *, row_number() OVER (PARTITION BY monitor, start ORDER BY b) AS length FROM (

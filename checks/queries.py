@@ -468,6 +468,31 @@ def pair_outputs(spark, sf):
     return health.pair_outputs(tb.landing(spark, sf), some, routed.quarantine)
 
 
+@query
+def kept_counts(spark, sf):
+    """Counts per place, year and name, kept through an upsert and an archive run instead of counted anew."""
+    before = _store(spark, sf)
+    after = upsert.upsert_records(before, tb.arrivals(spark, sf), AS_OF)
+    touched = after.where(F.col("updated_at") == F.lit(AS_OF).cast("timestamp")).select("record_id")
+    changes = context.count_changes(before.join(touched, "record_id", "left_semi"), after.join(touched, "record_id", "left_semi"))
+    kept, _ = archive.archive_prune(after, tb.embeddings(spark, sf), AS_OF, 365)
+    pruned = context.count_changes(after.join(kept.select("record_id"), "record_id", "left_anti"), kept.limit(0))
+    counts = context.apply_changes(context.place_counts(before), changes.unionByName(pruned))
+    return counts.select("l", "y", "name", "n")
+
+
+@query
+def metered_lines(spark, sf):
+    """Totals that came with the writes, beside the lines that were written."""
+    path = scratch_dir(spark, "metered")
+    routed, seen = va.observed(va.route(tb.landing(spark, sf), "b1"))
+    routed.validated.write.parquet(f"{path}/validated")
+    routed.quarantine.drop("record").write.parquet(f"{path}/quarantine")
+    counts = [seen[side].get["n"] for side in ("validated", "quarantined")]
+    return spark.read.parquet(f"{path}/validated").groupBy("source_key").agg(F.count("*").alias("lines")).withColumns(
+        {"validated": F.lit(counts[0]).cast("long"), "quarantined": F.lit(counts[1]).cast("long")})
+
+
 # --- records table ----------------------------------------------------------
 
 def _store(spark, sf):

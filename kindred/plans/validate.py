@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from kindred.functions.common import staged
 from kindred.functions.fields import (
@@ -90,8 +92,7 @@ def route(lines: DataFrame, batch_id: str | Column) -> Routed:
     with one write partitioned by outcome.
     """
     checked = checked_lines(lines, batch_id)
-    refused = (lines.groupBy("source_key")
-               .agg(F.count_if(parse_line(F.col("value")).isNotNull()).alias("n"))
+    refused = (checked.groupBy("source_key").agg(F.count("line").alias("n"))
                .where("n = 0").select("source_key", F.lit(NO_JSON).alias("file_reason")))
     bad = checked.where(F.size("reasons") > 0).join(refused, "source_key", "left")
     quarantine = bad.select(
@@ -108,6 +109,44 @@ def validation_summary(lines: DataFrame, batch_id: str = "") -> DataFrame:
         F.count_if(F.size("reasons") > 0).alias("quarantined"))
 
 
+def observed(routed: Routed, name: str = "lines") -> tuple[Routed, dict[str, Observation]]:
+    """``routed`` with a count of either side that comes with its write, without another pass.
+
+    Read ``observations["validated"].get["n"]`` and ``["quarantined"]`` after the writes.
+    """
+    seen = {side: Observation(f"{name}-{side}") for side in ("validated", "quarantined")}
+    count = F.count(F.lit(1)).alias("n")
+    return Routed(routed.validated.observe(seen["validated"], count), routed.quarantine.observe(seen["quarantined"], count)), seen
+
+
+def metered(checked: DataFrame, name: str = "validation") -> DataFrame:
+    """``checked_lines`` with the totals of ``validation_summary`` as metrics of whatever runs it, batch or stream."""
+    return checked.observe(name, F.count(F.lit(1)).alias("ingress"), F.count_if(F.size("reasons") == 0).alias("validated"),
+                           F.count_if(F.size("reasons") > 0).alias("quarantined"))
+
+
+class ValidationMeter(StreamingQueryListener):
+    """Totals of ``metered`` streams as they run: ``spark.streams.addListener(meter)``, then ``meter.totals[query name]``."""
+
+    def __init__(self, name: str = "validation"):
+        self.name = name
+        self.totals: dict[str, Counter] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None:
+            self.totals.setdefault(event.progress.name, Counter()).update(row.asDict())
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def quarantine_reasons(quarantine: DataFrame) -> DataFrame:
     """(source_key, reason, lines, first_line, first_pos): one row per distinct reason and file.
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from kindred.operators.embed import Embedder, embed_records
 from kindred.operators.lineage import durable
 from kindred.operators.upsert import upsert_records
-from kindred.plans.validate import quarantine_manifest, route
+from kindred.plans.validate import observed, quarantine_manifest, route
 from kindred.sources.bucketed import BUCKET, bucket_count, bucket_of, create_buckets, read_buckets, write_buckets
 from kindred.sources.landing import NDJSON_SUFFIXES, is_landing_key, number_lines
 
@@ -30,16 +30,19 @@ def stream_validate(lines: DataFrame, out: str, at=None) -> DataStreamWriter:
     """Route every micro-batch to ``out/{validated,quarantine,manifest}/epoch=N``.
 
     An epoch that is run again replaces its own folders, so each file is routed
-    once. The batch id is the epoch's, and the same on all its rows.
+    once. The batch id is the epoch's, and the same on all its rows. ``out/counts/epoch=N`` has how many rows either side got, counted
+    by the writes themselves.
     """
     def write(batch: DataFrame, epoch: int) -> None:
         # read and number the files once for the three writes
-        validated, quarantine = route(durable(number_lines(batch)), f"epoch-{epoch}")
+        (validated, quarantine), seen = observed(route(durable(number_lines(batch)), f"epoch-{epoch}"), f"epoch-{epoch}")
         stamp = at if at is not None else _now(batch.sparkSession)
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{out}/{name}/epoch={epoch}")
         put(validated, "validated")
         # the record as JSON text, so that a stored quarantine can be replayed
         put(quarantine.withColumn("record", F.to_json("record")), "quarantine")
+        counts = [seen[side].get["n"] for side in ("validated", "quarantined")]
+        put(batch.sparkSession.createDataFrame([(sum(counts), *counts)], "ingress long, validated long, quarantined long").coalesce(1), "counts")
         put(quarantine_manifest(quarantine, stamp), "manifest")
 
     return lines.writeStream.foreachBatch(write)

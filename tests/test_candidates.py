@@ -127,6 +127,24 @@ def test_snapshot(spark):
     assert b.context_summary == "No records found near Rome around 1850."
 
 
+def test_kept_counts_follow_changes(spark):
+    """Three rounds of changed, new and removed records: kept counts equal counts made anew, and snapshots agree."""
+    rnd, now = random.Random(8), {r[0]: r for r in people(60, 4, hot=True)}
+    table = lambda rows: spark.createDataFrame(list(rows), REC)
+    counts = context.place_counts(table(now.values()))
+    for turn in range(3):
+        new = {f"R{i:04}": (f"R{i:04}", *r[1:]) for i, r in zip(rnd.sample(range(90), 20), people(20, turn, hot=False), strict=True)}
+        gone = [k for k in now if rnd.random() < 0.1 and k not in new]
+        old = [now[k] for k in [*gone, *(k for k in new if k in now)]]
+        counts = context.apply_changes(counts, context.count_changes(table(old), table(new.values())))
+        now = {k: v for k, v in (now | new).items() if k not in gone}
+    key = lambda df: sorted(map(str, df.select("l", "y", "name", "n").collect()))
+    assert key(counts) == key(context.place_counts(table(now.values())))
+    req = spark.createDataFrame([("a", "boston", 1850), ("b", "Rome", 1841)], "request_id string, location string, year int")
+    assert sorted(map(str, context.neighborhood_snapshot(req, counts=counts).collect())) == sorted(
+        map(str, context.neighborhood_snapshot(req, table(now.values())).collect()))
+
+
 def test_resolve(spark):
     r = spark.createDataFrame([(*p, None) for p in PEOPLE], REC + ", birth_year int")
     q = spark.createDataFrame([(1, "John", "Marlow", 1870, "Leeds", None), (2, "Nobody", "Here", 1850, "Leeds", None),

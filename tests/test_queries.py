@@ -6,12 +6,8 @@ import __spark_entry__ as entry
 from checks.compare import compare, duck
 from checks.oracle import ORACLE
 
-SF = "/root/testdata/sf0.001"
-# KINDRED_ALL_QUERIES=1 runs every query of this library against its SQL, else a sample of each kind
-SAMPLE = ["pair_plausibility", "search_candidates", "resolve", "route_validated", "quarantine_manifest",
-          "upsert_records", "read_archive", "semantic_search", "stream_gap_alarm", "stream_late_data", "ann_recall",
-          "own_dimensions", "neighborhood_snapshot", "replay", "pair_outputs"]
-NAMES = sorted(ORACLE) if os.environ.get("KINDRED_ALL_QUERIES") else SAMPLE
+SF = os.environ.get("KINDRED_TEST_DIR", "/root/testdata/sf0.001")
+NAMES = sorted(ORACLE)
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 

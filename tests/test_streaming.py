@@ -1,8 +1,10 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
 from kindred.operators.embed import HashingEmbedder
+from kindred.plans import validate
 from kindred.schemas import RECORDS
 from kindred.sources import bucketed
 from kindred.streaming import alarms, gaps, ingest
@@ -101,6 +103,27 @@ def test_a_batch_that_was_cut_off_comes_out_whole(spark, tmp_path):
     assert bucketed.bucket_count(spark, f"{out}/seen") == 4
 
 
+def test_meter_counts_a_stream_as_it_runs(spark, tmp_path):
+    lines = spark.createDataFrame([("f", 1, '{"recordId":"R1","givenName":"a","familyName":"b","eventYear":1850,"location":"x"}'), ("f", 2, "no"), ("g", 1, "[]")],
+                                  "source_key string, source_line long, value string")
+    lines.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(lines.schema).parquet(str(tmp_path / "in"))
+    meter = validate.ValidationMeter()
+    spark.streams.addListener(meter)
+    try:
+        checked = validate.metered(validate.checked_lines(stream, "b")).select("source_key", "source_line", "reasons")
+        finish(checked.writeStream.queryName("lines").format("parquet").option("path", str(tmp_path / "out")), tmp_path / "c")
+        for _ in range(50):
+            if meter.totals:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(meter)
+    assert meter.totals["lines"] == {"ingress": 3, "validated": 1, "quarantined": 2}
+    want = validate.validation_summary(lines).agg(F.sum("ingress"), F.sum("validated"), F.sum("quarantined")).first()
+    assert tuple(want) == (3, 1, 2)
+
+
 def test_sketches_merge_to_longer_windows(spark):
     df = spark.range(20_000).select(F.timestamp_seconds(946684800 + F.col("id") * 5).alias("ts"), ((F.col("id") * 7919) % 20_011).cast("double").alias("latency_ms"))
     parts = alarms.latency_sketches(df.unionByName(df.limit(3).withColumn("latency_ms", F.lit(None).cast("double"))))
@@ -161,6 +184,8 @@ def test_files_to_records(spark, tmp_path):
     v = spark.read.parquet(f"{out}/validated")
     assert sorted((r.record_id, r.source_line, r.batch_id) for r in v.collect()) == [
         ("R1", 1, "epoch-0"), ("R1", 2, "epoch-1"), ("R3", 1, "epoch-1")]
+    counted = spark.read.parquet(f"{out}/counts").orderBy("epoch").collect()
+    assert [(r.epoch, r.ingress, r.validated, r.quarantined) for r in counted] == [(0, 3, 1, 2), (1, 2, 2, 0)]
     q = spark.read.parquet(f"{out}/quarantine").orderBy("source_line").collect()
     assert [(r.source_line, r.reasons) for r in q] == [(2, ["invalid JSON"]), (3, ["eventYear 2099 out of range [1800–1950]"])]
     assert spark.read.parquet(f"{out}/manifest").first().line_count == 2
