@@ -157,7 +157,7 @@ def test_short_masks_leave_out_all_that_may_differ():
     from itertools import combinations
     for n in range(decontaminate.LEAST, decontaminate.STRETCH):
         masks, differ = decontaminate.short_masks(n), n * (100 - decontaminate.SAME) // 100
-        assert all(len(m) == n and m.count("1") >= n // 2 for m in masks)
+        assert all(len(m) == n and m.count("1") >= 4 for m in masks)
         assert all(any(all(m[i] == "0" for i in some) for m in masks) for some in combinations(range(n), differ))
 
 
