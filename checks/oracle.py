@@ -94,6 +94,9 @@ _cte("geo", "SELECT * FROM (VALUES " + ",".join(
 _cte("genders", "SELECT * FROM (VALUES " + ",".join(
     f"('{k}', '{g}')" for k, g in NAME_GENDER.items()) + ") t(name, gender)")
 
+_cte("g", """SELECT lower(trim(given_name)) AS name, min(CASE length(given_name) % 3 WHEN 0 THEN 'FEMALE' WHEN 1 THEN 'MALE' END) AS gender
+  FROM records WHERE given_name IS NOT NULL GROUP BY 1""", "records")
+
 _SIDES = [("record_id", "id"), ("given_name", "given"), ("family_name", "family"),
           ("location", "location"), ("event_year", "year"), ("event_month", "month"),
           ("birth_year", "birth")]
@@ -429,6 +432,15 @@ ORACLE: dict[str, str] = {
   {_AGE_REASON} AS reason FROM checked""", "checked"),
     "age_viability": _with("""SELECT record_id, event_year - birth_year AS age,
   coalesce(event_year - birth_year BETWEEN 0 AND 120, true) AS viable FROM records""", "records"),
+    "location_table": """WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS short FROM benchmark),
+w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_]+')) AS t,
+  generate_subscripts(regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_]+'), 1) AS pos FROM documents),
+s AS (SELECT doc_id, string_agg(CASE WHEN short IS NULL THEN t ELSE upper(short) END, '' ORDER BY pos) AS text FROM w LEFT JOIN d ON lower(t) = short GROUP BY doc_id)
+SELECT doc_id, CASE WHEN d.text = '' THEN '' ELSE s.text END AS text FROM documents d LEFT JOIN s USING (doc_id)""",
+    "gender_table_conflicts": _with("""SELECT from_id, to_id FROM pairs JOIN g a ON a.name = lower(trim(from_given)) JOIN g b ON b.name = lower(trim(to_given))
+  WHERE a.gender <> b.gender""", "pairs", "g"),
+    "variant_table": _with("""SELECT record_id, CASE WHEN length(given_name) % 2 = 0 THEN reverse(lower(given_name)) ELSE given_name END AS variant
+  FROM records""", "records"),
     "gender_conflicts": _with("""SELECT from_id, to_id, g_from AS from_gender, g_to AS to_gender
   FROM checked WHERE r4""", "checked"),
     "rule_penalty_totals": _with(f"""SELECT split_part(p, '=', 1) AS rule_name, count(*) AS pairs,

@@ -15,6 +15,7 @@ from kindred.functions import rules as ru
 from kindred.functions import text as tx
 from kindred.functions.fields import dest_key, ingest_defaults
 from kindred.operators import candidates as ca
+from kindred.operators import dimensions as di
 from kindred.operators import context, embed, graph, health, ivf, knn, quality, upsert
 from kindred.operators.lineage import scratch_dir
 from kindred.plans import resolve as rs
@@ -356,6 +357,36 @@ def name_facts(spark, sf):
         tx.snippet(*_record_args(), n=25).alias("snippet"))
 
 
+def _benchmark_words(spark, sf):
+    """(short, full): a table as large as the distinct words of the benchmark; no text of a plan."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))
+    return tb.table(spark, sf, "benchmark").select(F.explode(words).alias("short")).select("short", F.upper("short").alias("full"))
+
+
+def _letter_genders(spark, sf):
+    """(name, gender): a table as large as the distinct given names."""
+    names = tb.records(spark, sf).select(F.col("given_name").alias("name")).where("name IS NOT NULL").distinct()
+    return names.select("name", F.when(F.length("name") % 3 == 0, "FEMALE").when(F.length("name") % 3 == 1, "MALE").alias("gender"))
+
+
+@query
+def location_table(spark, sf):
+    return di.with_places(tb.documents(spark, sf).select("doc_id", "text"), "text", _benchmark_words(spark, sf))
+
+
+@query
+def gender_table_conflicts(spark, sf):
+    checked = ru.check_pairs(_pairs(spark, sf), genders=_letter_genders(spark, sf))
+    return checked.where(F.array_contains("spatio.rules_triggered", "GenderPlausibilityRule")).select("from_id", "to_id")
+
+
+@query
+def variant_table(spark, sf):
+    turned = tb.records(spark, sf).select("given_name").where("given_name IS NOT NULL").distinct().select(
+        F.col("given_name").alias("name"), F.reverse(F.lower("given_name")).alias("variant")).where(F.length("name") % 2 == 0)
+    return di.with_variant(tb.records(spark, sf).select("record_id", "given_name"), "given_name", turned).select("record_id", "variant")
+
+
 # --- landing ----------------------------------------------------------------
 
 @query

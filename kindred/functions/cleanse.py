@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kindred.functions.common import is_blank
+from kindred.functions.common import is_blank, literal_map
 from kindred.functions.dims import PLACE_ABBREVIATIONS
 
 Cleanser = Callable[[Column], Column]
@@ -35,12 +35,33 @@ def fix_ocr_years(c: Column) -> Column:
     return c
 
 
+# a run of word characters, or of others: together they are the text
+WORD_PIECES = "[A-Za-z0-9_]+|[^A-Za-z0-9_]+"
+_ONE_WORD = re.compile("[A-Za-z0-9_]+")
+
+
+def ascii_lower(c: Column) -> Column:
+    """A-Z to a-z, other characters unchanged."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def standardize_location(c: Column, abbreviations: Mapping[str, str] = PLACE_ABBREVIATIONS) -> Column:
-    """Spell out place abbreviations: whole words, any case."""
-    for short, full in abbreviations.items():
-        pattern = f"(?i){_NOT_AFTER_WORD}{re.escape(short)}{_NOT_BEFORE_WORD}"
-        c = F.regexp_replace(c, pattern, full.replace("\\", "\\\\").replace("$", "\\$"))
-    return c
+    """Spell out place abbreviations: whole words, any ASCII case.
+
+    One search for any of them; texts that have one are cut into words, and each word is replaced once.
+    Abbreviations that are no single word go first, one pattern each. ``operators.dimensions.with_places``
+    takes a table instead.
+    """
+    for short in sorted(s for s in abbreviations if not _ONE_WORD.fullmatch(s)):
+        full = abbreviations[short].replace("\\", "\\\\").replace("$", "\\$")
+        c = F.regexp_replace(c, f"(?i){_NOT_AFTER_WORD}{re.escape(short)}{_NOT_BEFORE_WORD}", full)
+    words = {s.lower(): full for s, full in abbreviations.items() if _ONE_WORD.fullmatch(s)}
+    if not words:
+        return c
+    table = literal_map(words)
+    spelled = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(WORD_PIECES), F.lit(0)),
+                                       lambda x: F.coalesce(F.try_element_at(table, ascii_lower(x)), x)), "")
+    return F.when(c.rlike(f"(?i){_NOT_AFTER_WORD}({'|'.join(words)}){_NOT_BEFORE_WORD}"), spelled).otherwise(c)
 
 
 DEFAULT_CLEANSERS: tuple[Cleanser, ...] = (fix_ocr_years, standardize_location)

@@ -234,7 +234,7 @@ def _pair_columns(df: DataFrame) -> Pair:
 
 
 def evaluate_rules(df: DataFrame, rules: Sequence[Rule] | None = None, reasons: bool = True,
-                   genders: Mapping[str, str] | None = None) -> DataFrame:
+                   genders: Mapping[str, str] | DataFrame | None = None) -> DataFrame:
     """Run the chain on a pair table that already has travel and available days.
 
     Adds ``rule_results`` (array of structs, one per rule, in order). Without
@@ -243,8 +243,13 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Rule] | None = None, reasons:
     chain = active_rules() if rules is None else sorted(rules, key=lambda r: r.order)
     fields = ["triggered", "implausible", "penalty"] + (["reason"] if reasons else [])
     pair = _pair_columns(df)
-    df = staged(df, {f"_{side}_gender": infer_gender(F.col(f"{side}_given"), genders)
-                     for side in ("from", "to")})
+    if isinstance(genders, DataFrame):
+        from kindred.operators.dimensions import with_gender
+        for side in ("from", "to"):
+            df = with_gender(df, f"{side}_given", genders, f"_{side}_gender")
+    else:
+        df = staged(df, {f"_{side}_gender": infer_gender(F.col(f"{side}_given"), genders)
+                         for side in ("from", "to")})
     # one small step per rule: a single large one is too long a method for the JIT
     for i, rule in enumerate(chain):
         result = rule.check(pair)
@@ -257,14 +262,14 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Rule] | None = None, reasons:
 
 def check_pairs(pairs: DataFrame, rules: Sequence[Rule] | None = None,
                 cities: DataFrame | None = None, keep_reasons: bool = False,
-                genders: Mapping[str, str] | None = None) -> DataFrame:
+                genders: Mapping[str, str] | DataFrame | None = None) -> DataFrame:
     """Travel estimate and rule chain for each pair; adds the struct ``spatio``.
 
     ``spatio``: plausible, travel_days, available_days, margin, transit_mode,
     rules_triggered (array), confidence_adjustment (0..50), rule_penalties (map of
     the triggered rules). With ``keep_reasons`` the column ``rule_results`` stays.
-    Everything is a projection: no shuffle unless ``cities`` is given. ``cities`` and
-    ``genders`` (lower-case given name -> gender) replace the built-in tables.
+    Everything is a projection: no shuffle unless ``cities`` or ``genders`` is a table. They
+    replace the built-in ones; ``genders`` maps lower-case given names or is a DataFrame (name, gender).
     """
     month = lambda side: (F.col(f"{side}_month") if f"{side}_month" in pairs.columns
                           else F.lit(None).cast("int"))
