@@ -1,21 +1,28 @@
 """Personal data: fixed formats first, then identifiers found by the company they keep.
 
-The formats' matches are the seeds. The words around a seed form lexical patterns; a pattern
-is as good as the share of seeds among the identifier-like strings that it meets, and a
-string as good as its patterns. Scores go back and forth over the pattern-instance graph, a
-few rounds, as Spark joins and sums. Strings of high score become spans of their own.
+The formats' matches are the seeds. The words around a seed form lexical patterns with a slot. A second reading
+takes whatever fills the slot of such a pattern, one to four words; a pattern is as good as the share of seeds among all
+that it meets, and a filler as good as its patterns. Scores go back and forth over the pattern-instance
+graph, a few rounds, as Spark joins and sums. Fillers of high score that look like an identifier become spans of their own, and what
+stands around them forms further patterns.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from kindred.llm.stores import stored
+from kindred.llm.stores import Sieve, stored
+from kindred.llm.words import BASE, Pack, mixed, packs, slices
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -23,13 +30,19 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_HINT = re.compile(r"[0-9@]+")
-_BLANKS = " \t\n\x0b\x0c\r"
-#: Characters beside a span that its context words are taken from, on either side.
-REACH = 128
+_WORDS = re.compile("[^\\x20\\x09-\\x0D]+")
+#: Context words are compared with A-Z lower-cased, digits as 0 and without outer punctuation.
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz" + b"0" * 9)
+_OUTER = b".,;:!?\"'()[]{}<>#*$%&|"
+_EMPTY = np.uint64(xxh64_intdigest(b""))
+#: A slot holds one to this many words.
+SLOT = 4
+#: Digits that an identifier has at least, if it has no inner @ or underscore.
+DIGITS = 4
 
 SCAN = ("key long, base array<struct<kind:int,start:int,stop:int>>, "
-        "seen array<struct<start:int,stop:int,kind:int,instance:string,patterns:array<string>>>")
+        "seen array<struct<kind:int,instance:string,patterns:array<long>>>")
+HITS = "pattern long, filler long, key long, start int, stop int, instance string, around array<long>"
 
 
 def luhn(digits: str) -> bool:
@@ -85,119 +98,251 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return [(k, a, b) for k, find in enumerate(FINDERS) for a, b in find(text)]
 
 
-def unknown_identifiers(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Words with six digits or an inner @, without outer punctuation, that touch no base span."""
-    found, done = [], 0
-    spans = sorted((a, b) for _, a, b in taken)
-    i = 0
-    for m in _HINT.finditer(text):
-        if m.start() < done:
-            continue
-        a = m.start()
-        while a > done and text[a - 1] not in _BLANKS:
-            a -= 1
-        b = m.end()
-        while b < len(text) and text[b] not in _BLANKS:
-            b += 1
-        done = b
-        while i < len(spans) and spans[i][1] <= a:
-            i += 1
-        if i < len(spans) and spans[i][0] < b:
-            continue
-        while a < b and not text[a].isalnum():
-            a += 1
-        while b > a and not text[b - 1].isalnum():
-            b -= 1
-        word = text[a:b]
-        if sum("0" <= c <= "9" for c in word) >= 6 or "@" in word:
-            found.append((a, b))
-    return found
+def folded(text: bytes) -> list[bytes]:
+    """Context words of a text."""
+    return [w.strip(_OUTER) for w in text.translate(_FOLD).split()]
 
 
-def patterns(text: str, start: int, stop: int) -> list[str]:
-    """Lexical patterns around a span: two words before, one before and one after, two after.
+def marked(word: bytes) -> bool:
+    """Whether a word may be part of an identifier: it has a digit, an @ or an underscore."""
+    return b"0" in word or b"@" in word or b"_" in word
+
+
+def shaped(words: list[bytes]) -> bool:
+    """Whether folded words look like an identifier: each may be part of one, and together they have DIGITS digits or an inner @ or _."""
+    joined = b" ".join(words)
+    return all(map(marked, words)) and (joined.count(b"0") >= DIGITS or any(x in w[1:-1] for w in words for x in (b"@", b"_")))
+
+
+def _left(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed((a * np.uint64(3) + b) * np.uint64(BASE) + np.uint64(1))
+
+
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed((a * np.uint64(5) + b) * np.uint64(BASE) + np.uint64(2))
 
-    Words come from the REACH characters on either side, lower-cased, digits as 0, without outer punctuation.
-    """
-    def clean(words: list[str]) -> list[str]:
-        return [re.sub("[0-9]", "0", w.strip(".,;:!?\"'()[]{}<>#*$%&|").lower()) for w in words]
 
-    before = clean(text[max(0, start - REACH):start].split()[-2:])
-    after = clean(text[stop:stop + REACH].split()[:2])
+def _right(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed((a * np.uint64(7) + b) * np.uint64(BASE) + np.uint64(3))
+
+
+def around(words: np.ndarray, i: int, j: int) -> list[int]:
+    """Patterns around the words i to j - 1 of a text's word hashes: two before, one on either side, two after."""
+    ok, keys = words != _EMPTY, []
+    if i >= 2 and ok[i - 2:i].all():
+        keys.append(_left(words[i - 2:i - 1], words[i - 1:i]))
+    if i >= 1 and j < len(words) and ok[i - 1] and ok[j]:
+        keys.append(_both(words[i - 1:i], words[j:j + 1]))
+    if j + 1 < len(words) and ok[j:j + 2].all():
+        keys.append(_right(words[j:j + 1], words[j + 1:j + 2]))
+    return np.concatenate(keys).view(np.int64).tolist() if keys else []
+
+
+def seeds(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
+    """kind, instance and patterns of the base spans of a text; a span's slot are the words that it touches."""
+    at = [m.span() for m in _WORDS.finditer(text)]
+    starts, stops = [a for a, _ in at], [b for _, b in at]
     found = []
-    if len(before) == 2 and all(before):
-        found.append(f"{before[0]} {before[1]} _")
-    if before and after and before[-1] and after[0]:
-        found.append(f"{before[-1]} _ {after[0]}")
-    if len(after) == 2 and all(after):
-        found.append(f"_ {after[0]} {after[1]}")
+    for kind, a, b in spans:
+        i, j = bisect_right(starts, a) - 1, bisect_left(stops, b) + 1
+        first = max(0, i - 2)
+        near = folded(text[starts[first]:stops[min(len(at), j + 2) - 1]].encode())
+        hashes = np.fromiter(map(xxh64_intdigest, near), np.uint64, len(near))
+        found.append({"kind": kind, "instance": text[a:b], "patterns": around(hashes, i - first, j - first)})
     return found
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text, doc_id) -> key, base, seen, doc_id."""
     span = pa.list_(pa.struct([(n, pa.int32()) for n in ("kind", "start", "stop")]))
-    seen_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.int32()),
-                                    ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
-    for batch in batches:
+    seen_type = pa.list_(pa.struct([("kind", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.int64()))]))
+    for batch in slices(batches):
         base, seen = [], []
         for text in batch.column(1).to_pylist():
             spans = base_spans(text) if text else []
             base.append([{"kind": k, "start": a, "stop": b} for k, a, b in spans])
-            others = [(-1, a, b) for a, b in unknown_identifiers(text, spans)] if text else []
-            seen.append([{"start": a, "stop": b, "kind": k, "instance": text[a:b], "patterns": patterns(text, a, b)}
-                         for k, a, b in spans + others])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(seen, seen_type)], ["key", "base", "seen"])
+            seen.append(seeds(text, spans) if spans else [])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(seen, seen_type), batch.column(2)],
+                                         ["key", "base", "seen", "doc_id"])
 
 
-def learn(seen: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.8, certain: float = 0.9) -> DataFrame:
-    """(instance, kind) of strings that patterns identify, from rows (kind, instance, pattern).
+def _slots(sieve: Sieve):
+    """(key, text, copy) -> HITS: what fills the slots of patterns that the sieve lets through.
 
-    ``kind`` is -1 for strings without a known format. Per round, a pattern's score for a kind is the
-    mean score of the distinct instances it meets; it counts from ``confidence`` on, with
+    Prose fillers come once per pattern and pack, without text and place; a filler that may be an identifier comes with both.
+    A slot that touches a base span is that seed's and is left out.
+    """
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in packs((b.append_column("copy", b.column(1)) for b in batches), split=folded):
+            yield from _fill(pack, sieve)
+    return read
+
+
+def _fill(pack: Pack, sieve: Sieve) -> Iterator[pa.RecordBatch]:
+    h, n = pack.words, len(pack.words)
+    at = np.arange(n)
+    own = np.repeat(np.arange(len(pack.rows)), np.diff(pack.start))
+    lo, hi, ok = pack.start[own], pack.start[own + 1], h != _EMPTY
+    hits = []  # (pattern, first word, words in the slot; 0: open to the right, -1: open to the left)
+    i = at[2:][(at[2:] >= lo[2:] + 2) & ok[1:-1] & ok[:-2]] if n > 2 else at[:0]
+    hits.append((_left(h[i - 2], h[i - 1]), i, 0))
+    i = at[:-2][(at[:-2] + 2 < hi[:-2]) & ok[1:-1] & ok[2:]] if n > 2 else at[:0]
+    hits.append((_right(h[i + 1], h[i + 2]), i, -1))
+    for size in range(1, SLOT + 1):
+        i = at[1:n - size][(at[1:n - size] > lo[1:n - size]) & (at[1:n - size] + size < hi[1:n - size])] if n > size + 1 else at[:0]
+        i = i[ok[i - 1] & ok[i + size]]
+        hits.append((_both(h[i - 1], h[i + size]), i, size))
+    kept = []
+    for pattern, i, size in hits:
+        some = np.flatnonzero(sieve.holds(pattern))
+        kept.append((pattern[some], i[some], size))
+    if not any(len(p) for p, _, _ in kept):
+        return
+    texts = _Texts(pack)
+    prose, rows = [], []
+    for pattern, i, size in kept:
+        if size > 0:
+            filler = h[i] if size == 1 else reduce(lambda x, y: mixed(x * np.uint64(BASE) + y), [h[i + k] for k in range(size)])
+        else:
+            filler = h[i]
+        for k in np.flatnonzero(texts.marked_at(own[i], i - pack.start[own[i]])):
+            doc = int(own[i[k]])
+            found = texts.identifier(doc, int(i[k] - pack.start[doc]), size)
+            if found == "seed":
+                filler[k] = 0
+            elif found:
+                start, stop, keys = found
+                instance = texts.text(doc)[start:stop]
+                rows.append((int(pattern[k].view(np.int64)), pack.rows[doc][0], start, stop, instance, keys))
+                filler[k] = 0
+        some = filler != 0
+        prose.append(np.unique(np.stack((pattern[some], filler[some])), axis=1))
+    prose = np.concatenate(prose, axis=1).view(np.int64)
+    m, none = prose.shape[1], len(rows)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate((prose[0], np.array([r[0] for r in rows], np.int64)))),
+         pa.concat_arrays([pa.array(prose[1]), pa.nulls(none, pa.int64())]),
+         *[pa.concat_arrays([pa.nulls(m, t), pa.array([r[c] for r in rows], t)])
+           for c, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.string()), (5, pa.list_(pa.int64())))]],
+        ["pattern", "filler", "key", "start", "stop", "instance", "around"])
+
+
+class _Texts:
+    """The texts of a pack, worked out where a slot is hit."""
+
+    def __init__(self, pack: Pack):
+        self.pack, self.done, self.flags = pack, {}, {}
+
+    def text(self, doc: int) -> str:
+        return self.pack.rows[doc][1]
+
+    def marked_at(self, docs: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Which of the words may be part of an identifier."""
+        out = np.zeros(len(docs), bool)
+        cuts = np.flatnonzero(np.diff(docs)) + 1
+        for part in np.split(np.arange(len(docs)), cuts) if len(docs) else []:
+            doc = int(docs[part[0]])
+            if doc not in self.flags:
+                self.flags[doc] = np.fromiter(map(marked, folded(self.text(doc).encode())), bool)
+            out[part] = self.flags[doc][words[part]]
+        return out
+
+    def identifier(self, doc: int, i: int, size: int) -> tuple[int, int, list[int]] | str | None:
+        """(start, stop, patterns around) of the longest identifier in a slot; "seed" where a base span touches it, None if there is none."""
+        if doc not in self.done:
+            text = self.text(doc)
+            at = [m.span() for m in _WORDS.finditer(text)]
+            spans = sorted((a, b) for _, a, b in base_spans(text))
+            # spans of different kinds may overlap: up to each, the furthest end
+            self.done[doc] = at, folded(text.encode()), [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+        at, words, starts, ends = self.done[doc]
+        hashes = self.pack.words[self.pack.start[doc]:self.pack.start[doc + 1]]
+        ways = [(i, i + size)] if size > 0 else [(i, i + k) if size == 0 else (i - k + 1, i + 1) for k in range(SLOT, 0, -1)]
+        text = self.text(doc)
+        for a, b in ways:
+            if a < 0 or b > len(words):
+                continue
+            start, stop = at[a][0], at[b - 1][1]
+            while start < stop and not text[start].isalnum() and not (text[start] in "(+" and stop - start > 1):
+                start += 1
+            while stop > start and not text[stop - 1].isalnum():
+                stop -= 1
+            before = bisect_left(starts, stop)
+            if before and ends[before - 1] > start:
+                if size > 0 or b - a == 1:
+                    return "seed"
+            elif shaped(words[a:b]):
+                return start, stop, around(hashes, a, b)
+        return None
+
+
+def learn(edges: DataFrame, prose: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.8, certain: float = 0.9) -> DataFrame:
+    """(instance, kind) of strings that patterns identify.
+
+    ``edges``: pattern, instance, kind, one row per pattern and instance; ``kind`` is -1 for strings without a known format.
+    ``prose``: pattern, n: how many distinct other fillers a pattern meets. Per round, a pattern's score for a kind is the
+    mean score of the distinct fillers it meets; it counts from ``confidence`` on, with
     at least ``support`` instances of the kind. An instance's score is 1 minus the product of
     its patterns' (1 - score); it is taken from ``certain`` on, with two patterns or more, for its best kind.
-    Every (pattern, instance) counts once, however often it occurs. Patterns and instances are only
-    ever summed up, never gathered.
+    Patterns and instances are only ever summed up, never gathered, and sums are decimal, so that reruns agree.
     """
-    edges = stored(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
-    seeds = edges.where("kind >= 0").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
-    met = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("met"))
+    exact = "decimal(28,9)"
+    known = edges.where("kind >= 0").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
+    met = (edges.select("pattern", F.lit(1).cast("long").alias("n")).union(prose.select("pattern", "n"))
+           .groupBy("pattern").agg(F.sum("n").alias("met")))
     open_edges = edges.where("kind < 0").select("pattern", "instance")
-    scored = stored(seeds, "pii-scores")
+    scored = stored(known, "pii-scores")
     for _ in range(rounds):
         votes = (edges.select("pattern", "instance").join(scored, "instance").groupBy("pattern", "kind")
-                 .agg(F.sum("score").alias("votes"), F.sum(F.when(F.col("score") >= 0.5, 1).otherwise(0)).alias("n")))
+                 .agg(F.sum(F.col("score").cast(exact)).cast("double").alias("votes"), F.sum(F.when(F.col("score") >= 0.5, 1).otherwise(0)).alias("n")))
         good = (votes.where(F.col("n") >= support).join(met, "pattern")
                 .select("pattern", "kind", (F.col("votes") / F.col("met")).alias("trust")).where(F.col("trust") >= confidence))
-        found = (open_edges.join(good, "pattern").groupBy("instance", "kind")
-                 .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))).alias("score"), F.count(F.lit(1)).alias("n"))
+        doubt = F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9))).cast(exact)).cast("double")
+        found = (open_edges.join(good, "pattern").groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("score"), F.count(F.lit(1)).alias("n"))
                  .where((F.col("n") >= 2) & (F.col("score") >= certain)))
         best = found.groupBy("instance").agg(F.max(F.struct("score", -F.col("kind"))).alias("b"))
-        scored = stored(seeds.union(best.select("instance", -F.col("b.col2"), "b.score")), "pii-scores")
+        scored = stored(known.union(best.select("instance", -F.col("b.col2"), "b.score")), "pii-scores")
     return scored.join(open_edges.select("instance").distinct(), "instance").select("instance", "kind")
 
 
-def find(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", turns: int = 2, support: int = 3, **settings) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, base, learned: arrays of (kind, start, stop) in order.
 
-    Offsets are code points, ``stop`` is exclusive; ``kind`` indexes KINDS. ``learned`` spans never
-    overlap base ones. A null or empty text has no span; repeated rows get the same ones
+    Offsets are code points, ``stop`` is exclusive; ``kind`` indexes KINDS. ``learned`` spans overlap neither
+    base ones nor each other (the first by start stays, of these the longest). Patterns need ``support`` distinct seeds; what identifies strings in one turn
+    gives the patterns of the next. A null or empty text has no span; repeated rows get the same ones
     each; an empty table gives an empty one; further columns are ignored. Texts are read
-    once and not shuffled: what follows works on the spans and the words beside them.
+    once for the formats and once per turn with new patterns, and not shuffled: what follows works on the fillers of slots.
     """
     kind = docs.schema["doc_id"].dataType
     rows = docs.select(F.xxhash64("doc_id", text).alias("key"), F.col(text).alias("text"), "doc_id")
-    scanned = stored(rows.select("key", "text", "doc_id").mapInArrow(_with_id, f"{SCAN}, doc_id {kind.simpleString()}"), "pii-scan")
-    seen = scanned.select("key", F.explode("seen").alias("x")).select("key", "x.*")
-    edges = seen.select("kind", "instance", F.explode("patterns").alias("pattern"))
-    known = learn(edges, **settings)
-    learned = (seen.where("kind < 0").select("key", "instance", "start", "stop").distinct().join(known, "instance")
-               .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "stop"))).alias("learned")))
+    scanned = stored(rows.mapInArrow(_scan, f"{SCAN}, doc_id {kind.simpleString()}"), "pii-scan")
+    known = scanned.select(F.explode("seen").alias("x")).select("x.kind", "x.instance", F.explode("x.patterns").alias("pattern"))
+    known = stored(known.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-seeds")
+    met, searched, learned, hits = known.select("pattern", "instance"), None, None, None
+    for _ in range(turns):
+        fresh = met.distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("pattern")
+        fresh = stored(fresh if searched is None else fresh.join(searched, "pattern", "left_anti"), "pii-patterns")
+        if fresh.isEmpty():
+            break
+        found = rows.select("key", "text").where("text IS NOT NULL").mapInArrow(_slots(Sieve(fresh)), HITS)
+        found = stored(found.join(fresh, "pattern", "left_semi"), "pii-hits")
+        hits = found if hits is None else hits.union(found)
+        searched = fresh if searched is None else searched.union(fresh)
+        prose = hits.where("filler IS NOT NULL").groupBy("pattern").agg(F.countDistinct("filler").alias("n"))
+        edges = (known.join(searched, "pattern", "left_semi").select("pattern", "instance", "kind")
+                 .union(hits.where("instance IS NOT NULL").select("pattern", "instance", F.lit(-1)))
+                 .groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
+        learned = stored(learn(stored(edges, "pii-edges"), prose, support=support, **settings), "pii-learned")
+        places = hits.where("instance IS NOT NULL").join(learned, "instance")
+        met = known.select("pattern", "instance").union(places.select(F.explode("around"), "instance"))
     none = F.array().cast("array<struct<kind:int,start:int,stop:int>>")
-    return scanned.join(learned, "key", "left").select("doc_id", "base", F.coalesce("learned", none).alias("learned"))
-
-
-def _with_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for out in _scan(iter([batch.select([0, 1])])):
-            yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2)], [*out.schema.names, "doc_id"])
+    if learned is None:
+        return scanned.select("doc_id", "base", none.alias("learned"))
+    # by start, of equal starts the longest first; what overlaps a span that stayed goes
+    place = F.struct("start", (-F.col("stop")).alias("end"), "kind")
+    spans = F.aggregate(F.array_sort(F.collect_set(place)), none, lambda kept, x: F.when(
+        (F.size(kept) == 0) | (F.try_element_at(kept, F.lit(-1))["stop"] <= x["start"]),
+        F.concat(kept, F.array(F.struct(x["kind"].alias("kind"), x["start"].alias("start"), (-x["end"]).alias("stop"))))).otherwise(kept))
+    per_text = places.groupBy("key").agg(spans.alias("learned"))
+    return scanned.join(per_text, "key", "left").select("doc_id", "base", F.coalesce("learned", none).alias("learned"))

@@ -67,8 +67,7 @@ def test_base_spans_equal_plain_patterns(pieces):
 
 def test_long_words_take_no_quadratic_time():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "@" * 100_000, "a@" * 100_000, "+1" * 100_000, "+1 " * 100_000):
-        spans = pii.base_spans(text)
-        pii.unknown_identifiers(text, spans)
+        pii.seeds(text, pii.base_spans(text))
 
 
 def test_contexts_teach_unseen_identifiers(spark):
@@ -83,6 +82,69 @@ def test_contexts_teach_unseen_identifiers(spark):
     assert pii.find(docs).count() == len(rows) + 1
 
 
+def _learned(spark, rows):
+    """{doc_id: [(kind, text)]} of the learned spans."""
+    text = dict(rows)
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    return {r["doc_id"]: [(pii.KINDS[s.kind], text[r["doc_id"]][s.start:s.stop]) for s in r["learned"]] for r in got if r["learned"]}
+
+
+def test_slots_of_several_words(spark):
+    """Numbers with blanks, short ids and user names in the contexts of seeds; nothing in the same words elsewhere."""
+    rows = [(i, f"please call +1 617 555 {1200 + i} after lunch, or write to user{chr(97 + i)}@x.org until noon") for i in range(12)]
+    rows += [(20, "é please call 617 555 1212 after lunch"), (21, "please call (617) 555-1313 after lunch"), (22, "please call AB-1234 after lunch"),
+             (23, "or write to jane_doe until noon"), (24, "in 1999 they had 617 555 1212 pages, 20240117 of them by jane_doe"), (25, "please wait 12345 days after lunch")]
+    want = {20: [("phone", "617 555 1212")], 21: [("phone", "(617) 555-1313")], 22: [("phone", "AB-1234")], 23: [("email", "jane_doe")]}
+    got = _learned(spark, rows)
+    # 24: strings that were identified are identifiers wherever a pattern meets them, and only there
+    assert got == want
+
+
+def test_what_was_learned_teaches_in_turn(spark):
+    rows = [(i, f"please call +1 617 555 {1200 + i} after lunch") for i in range(24)]
+    rows += [(30 + i, f"please call 617 555 {2200 + i} after lunch") for i in range(5)] + [(50 + i, f"my home phone 617 555 {2200 + i} rings often now") for i in range(5)]
+    rows += [(60, "my home phone 617 555 9999 rings often now")]
+    got = _learned(spark, rows)
+    assert got[60] == [("phone", "617 555 9999")] and got[52] == [("phone", "617 555 2202")] and len(got) == 11
+
+
+def test_fillers_without_trust_teach_nothing(spark):
+    """A pattern that meets as much prose as seeds is not trusted, and clean prose has no span."""
+    rows = [(i, f"please call +1 617 555 {1200 + i} after lunch") for i in range(12)]
+    rows += [(20 + i, f"please call {'abcdefghijkl'[i] * 3} after lunch") for i in range(12)] + [(40, "please call 617 555 1212 after lunch")]
+    assert _learned(spark, rows) == {}
+
+
+def test_slots_equal_plain_ones(spark):
+    """Hits of the packed reader, pattern by pattern, against a plain walk over the words."""
+    import random
+
+    import numpy as np
+    from xxhash import xxh64_intdigest
+    rnd = random.Random(5)
+    words = ["aa", "bb", "cc", "12", "3456", "x_y", "-", "(617)", "a@b.cd", "555"]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(12)))) for i in range(60)]
+    seen, want = set(), set()
+    for i, t in rows:
+        w = pii.folded(t.encode())
+        h = np.array([xxh64_intdigest(x) for x in w], np.uint64)
+        for a in range(len(w)):
+            for b in range(a + 1, min(a + pii.SLOT, len(w)) + 1):
+                if pii.shaped(w[a:b]):
+                    seen.update((i, p) for p in pii.around(h, a, b))
+    patterns = sorted({p for _, p in seen})[::3]
+    sieve = pii.Sieve(spark.createDataFrame([(p,) for p in patterns], "p long"))
+    found = spark.createDataFrame(rows, "key long, text string").mapInArrow(pii._slots(sieve), pii.HITS).where("instance IS NOT NULL").collect()
+    text = dict(rows)
+    for r in found:
+        if r["pattern"] in patterns:
+            assert r["pattern"] in r["around"] and r["instance"] == text[r["key"]][r["start"]:r["stop"]] and "a@b.cd" not in r["instance"]
+            want.add((r["key"], r["pattern"]))
+    free = {k for k, t in rows if "a@b.cd" not in t}
+    assert {x for x in want if x[0] in free} == {x for x in seen if x[1] in patterns and x[0] in free}
+
+
 def test_personal_data_of_messy_rows(docs, messy, none):
     got = pii.find(docs).collect()
     assert len(got) == len(messy) and pii.find(none).count() == 0
