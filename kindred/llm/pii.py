@@ -4,7 +4,7 @@ The formats' matches are the seeds. The words around a seed form lexical pattern
 takes whatever fills the slot of such a pattern, one to four words; a pattern is as good as the share of seeds among all
 that it meets, and a filler as good as its patterns. Scores go back and forth over the pattern-instance
 graph, a few rounds, as Spark joins and sums. Fillers of high score that look like an identifier become spans of their own, and what
-stands around them forms further patterns.
+stands around them, where they were found, forms further patterns.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -166,54 +165,59 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["key", "base", "seen", "doc_id"])
 
 
-def _slots(sieve: Sieve):
+def _slots(sieve: Sieve, identifiers: bool = True):
     """(key, text, copy) -> HITS: what fills the slots of patterns that the sieve lets through.
 
-    Prose fillers come once per pattern and pack, without text and place; a filler that may be an identifier comes with both.
+    With ``identifiers`` the slots whose word beside the context is ``marked``, else all others. Prose fillers come once
+    per pattern and pack, without text and place; a filler that may be an identifier comes with both.
     A slot that touches a base span is that seed's and is left out.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack in packs((b.append_column("copy", b.column(1)) for b in batches), split=folded):
-            yield from _fill(pack, sieve)
+        flags = []
+
+        def split(text: bytes) -> list[bytes]:
+            words = folded(text)
+            flags.append(np.fromiter(map(marked, words), bool, len(words)))
+            return words
+
+        for pack in packs((b.append_column("copy", b.column(1)) for b in batches), split=split):
+            mine = np.concatenate(flags) == identifiers
+            flags.clear()
+            yield from _fill(pack, sieve, mine, identifiers)
     return read
 
 
-def _fill(pack: Pack, sieve: Sieve) -> Iterator[pa.RecordBatch]:
+def _fill(pack: Pack, sieve: Sieve, mine: np.ndarray, identifiers: bool) -> Iterator[pa.RecordBatch]:
+    """Hits of the slots that begin (those open to the left: end) at words of ``mine``."""
     h, n = pack.words, len(pack.words)
-    at = np.arange(n)
-    own = np.repeat(np.arange(len(pack.rows)), np.diff(pack.start))
-    lo, hi, ok = pack.start[own], pack.start[own + 1], h != _EMPTY
-    hits = []  # (pattern, first word, words in the slot; 0: open to the right, -1: open to the left)
-    i = at[2:][(at[2:] >= lo[2:] + 2) & ok[1:-1] & ok[:-2]] if n > 2 else at[:0]
-    hits.append((_left(h[i - 2], h[i - 1]), i, 0))
-    i = at[:-2][(at[:-2] + 2 < hi[:-2]) & ok[1:-1] & ok[2:]] if n > 2 else at[:0]
-    hits.append((_right(h[i + 1], h[i + 2]), i, -1))
-    for size in range(1, SLOT + 1):
-        i = at[1:n - size][(at[1:n - size] > lo[1:n - size]) & (at[1:n - size] + size < hi[1:n - size])] if n > size + 1 else at[:0]
-        i = i[ok[i - 1] & ok[i + size]]
-        hits.append((_both(h[i - 1], h[i + size]), i, size))
-    kept = []
-    for pattern, i, size in hits:
+    at = np.flatnonzero(mine)
+    own = pack.owner(at)
+    lo, hi, ok = pack.start[own], pack.start[own + 1], np.concatenate((h != _EMPTY, np.zeros(SLOT + 1, bool)))
+    kept = []  # (pattern, word, words in the slot; 0: open to the right, -1: open to the left)
+
+    def hit(i: np.ndarray, keys, size: int) -> None:
+        pattern = keys(i)
         some = np.flatnonzero(sieve.holds(pattern))
         kept.append((pattern[some], i[some], size))
+
+    hit(at[(at >= lo + 2) & ok[at - 1] & ok[at - 2]], lambda i: _left(h[i - 2], h[i - 1]), 0)
+    hit(at[(at + 2 < hi) & ok[at + 1] & ok[at + 2]], lambda i: _right(h[i + 1], h[i + 2]), -1)
+    for size in range(1, SLOT + 1):
+        hit(at[(at > lo) & (at + size < hi) & ok[at - 1] & ok[at + size]], lambda i, size=size: _both(h[i - 1], h[i + size]), size)
     if not any(len(p) for p, _, _ in kept):
         return
-    texts = _Texts(pack)
-    prose, rows = [], []
+    texts, prose, rows = _Texts(pack), [], []
     for pattern, i, size in kept:
-        if size > 0:
-            filler = h[i] if size == 1 else reduce(lambda x, y: mixed(x * np.uint64(BASE) + y), [h[i + k] for k in range(size)])
-        else:
-            filler = h[i]
-        for k in np.flatnonzero(texts.marked_at(own[i], i - pack.start[own[i]])):
-            doc = int(own[i[k]])
-            found = texts.identifier(doc, int(i[k] - pack.start[doc]), size)
+        filler = h[i]
+        for k in range(1, size):
+            filler = mixed(filler * np.uint64(BASE) + h[i + k])
+        for k, doc in enumerate(pack.owner(i)) if identifiers else ():
+            found = texts.identifier(int(doc), int(i[k] - pack.start[doc]), size)
             if found == "seed":
                 filler[k] = 0
             elif found:
                 start, stop, keys = found
-                instance = texts.text(doc)[start:stop]
-                rows.append((int(pattern[k].view(np.int64)), pack.rows[doc][0], start, stop, instance, keys))
+                rows.append((int(pattern[k].view(np.int64)), pack.rows[doc][0], start, stop, texts.text(doc)[start:stop], keys))
                 filler[k] = 0
         some = filler != 0
         prose.append(np.unique(np.stack((pattern[some], filler[some])), axis=1))
@@ -231,22 +235,11 @@ class _Texts:
     """The texts of a pack, worked out where a slot is hit."""
 
     def __init__(self, pack: Pack):
-        self.pack, self.done, self.flags = pack, {}, {}
+        self.pack, self.done = pack, {}
 
     def text(self, doc: int) -> str:
         return self.pack.rows[doc][1]
 
-    def marked_at(self, docs: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Which of the words may be part of an identifier."""
-        out = np.zeros(len(docs), bool)
-        cuts = np.flatnonzero(np.diff(docs)) + 1
-        for part in np.split(np.arange(len(docs)), cuts) if len(docs) else []:
-            doc = int(docs[part[0]])
-            if doc not in self.flags:
-                self.flags[doc] = np.fromiter(map(marked, folded(self.text(doc).encode())), bool)
-            out[part] = self.flags[doc][words[part]]
-        return out
-
     def identifier(self, doc: int, i: int, size: int) -> tuple[int, int, list[int]] | str | None:
         """(start, stop, patterns around) of the longest identifier in a slot; "seed" where a base span touches it, None if there is none."""
         if doc not in self.done:
@@ -312,28 +305,38 @@ def find(docs: DataFrame, text: str = "text", turns: int = 2, support: int = 3,
     base ones nor each other (the first by start stays, of these the longest). Patterns need ``support`` distinct seeds; what identifies strings in one turn
     gives the patterns of the next. A null or empty text has no span; repeated rows get the same ones
     each; an empty table gives an empty one; further columns are ignored. Texts are read
-    once for the formats and once per turn with new patterns, and not shuffled: what follows works on the fillers of slots.
+    once for the formats and once or twice per turn with new patterns, and not shuffled: what follows works on the fillers of slots.
     """
     kind = docs.schema["doc_id"].dataType
     rows = docs.select(F.xxhash64("doc_id", text).alias("key"), F.col(text).alias("text"), "doc_id")
     scanned = stored(rows.mapInArrow(_scan, f"{SCAN}, doc_id {kind.simpleString()}"), "pii-scan")
     known = scanned.select(F.explode("seen").alias("x")).select("x.kind", "x.instance", F.explode("x.patterns").alias("pattern"))
     known = stored(known.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-seeds")
-    met, searched, learned, hits = known.select("pattern", "instance"), None, None, None
+    texts = rows.select("key", "text").where("text IS NOT NULL")
+    met, searched, counted, learned, hits, prose = known.select("pattern", "instance"), None, None, None, None, None
+    more = lambda old, new: new if old is None else old.union(new)
     for _ in range(turns):
         fresh = met.distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("pattern")
         fresh = stored(fresh if searched is None else fresh.join(searched, "pattern", "left_anti"), "pii-patterns")
         if fresh.isEmpty():
             break
-        found = rows.select("key", "text").where("text IS NOT NULL").mapInArrow(_slots(Sieve(fresh)), HITS)
-        found = stored(found.join(fresh, "pattern", "left_semi"), "pii-hits")
-        hits = found if hits is None else hits.union(found)
-        searched = fresh if searched is None else searched.union(fresh)
-        prose = hits.where("filler IS NOT NULL").groupBy("pattern").agg(F.countDistinct("filler").alias("n"))
-        edges = (known.join(searched, "pattern", "left_semi").select("pattern", "instance", "kind")
-                 .union(hits.where("instance IS NOT NULL").select("pattern", "instance", F.lit(-1)))
-                 .groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
-        learned = stored(learn(stored(edges, "pii-edges"), prose, support=support, **settings), "pii-learned")
+        searched = more(searched, fresh)
+        hits = more(hits, stored(texts.mapInArrow(_slots(Sieve(fresh)), HITS).join(fresh, "pattern", "left_semi"), "pii-hits"))
+        # a string needs two patterns, so only patterns of such strings have to be weighed
+        unknown = hits.where("instance IS NOT NULL").select("pattern", "instance").distinct().join(known.select("instance").distinct(), "instance", "left_anti")
+        twice = unknown.groupBy("instance").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("instance")
+        weighed = stored(unknown.join(twice, "instance", "left_semi").select("pattern").distinct(), "pii-weighed")
+        new = weighed if counted is None else stored(weighed.join(counted, "pattern", "left_anti"), "pii-new")
+        counted = more(counted, new)
+        if not new.isEmpty():
+            prose = more(prose, stored(texts.mapInArrow(_slots(Sieve(new), False), HITS).join(new, "pattern", "left_semi")
+                                       .groupBy("pattern").agg(F.countDistinct("filler").alias("n")), "pii-prose"))
+        if prose is None:
+            break
+        beside = hits.where("filler IS NOT NULL").join(weighed, "pattern", "left_semi").groupBy("pattern").agg(F.countDistinct("filler").alias("n"))
+        edges = (known.select("pattern", "instance", "kind").union(hits.where("instance IS NOT NULL").select("pattern", "instance", F.lit(-1)))
+                 .join(weighed, "pattern", "left_semi").groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
+        learned = stored(learn(stored(edges, "pii-edges"), prose.union(beside), support=support, **settings), "pii-learned")
         places = hits.where("instance IS NOT NULL").join(learned, "instance")
         met = known.select("pattern", "instance").union(places.select(F.explode("around"), "instance"))
     none = F.array().cast("array<struct<kind:int,start:int,stop:int>>")

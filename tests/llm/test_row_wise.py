@@ -102,11 +102,11 @@ def test_slots_of_several_words(spark):
 
 
 def test_what_was_learned_teaches_in_turn(spark):
-    rows = [(i, f"please call +1 617 555 {1200 + i} after lunch") for i in range(24)]
-    rows += [(30 + i, f"please call 617 555 {2200 + i} after lunch") for i in range(5)] + [(50 + i, f"my home phone 617 555 {2200 + i} rings often now") for i in range(5)]
-    rows += [(60, "my home phone 617 555 9999 rings often now")]
+    """The words around learned strings are patterns of the next turn: one pattern of seeds alone does not do for the last row."""
+    rows = [(i, f"please call +1 617 555 {1200 + i} after lunch") for i in range(40)]
+    rows += [(100 + i, f"please call 617 555 {2200 + i} after dinner") for i in range(7)] + [(200, "we call 617 555 9999 after dinner")]
     got = _learned(spark, rows)
-    assert got[60] == [("phone", "617 555 9999")] and got[52] == [("phone", "617 555 2202")] and len(got) == 11
+    assert got[200] == [("phone", "617 555 9999")] and got[102] == [("phone", "617 555 2202")] and len(got) == 8
 
 
 def test_fillers_without_trust_teach_nothing(spark):
