@@ -313,6 +313,7 @@ def find(docs: DataFrame, text: str = "text", turns: int = 2, support: int = 3,
     known = scanned.select(F.explode("seen").alias("x")).select("x.kind", "x.instance", F.explode("x.patterns").alias("pattern"))
     known = stored(known.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-seeds")
     texts = rows.select("key", "text").where("text IS NOT NULL")
+    some = texts.where(F.col("text").rlike("[0-9@_]"))  # others have no marked word
     met, searched, counted, learned, hits, prose = known.select("pattern", "instance"), None, None, None, None, None
     more = lambda old, new: new if old is None else old.union(new)
     for _ in range(turns):
@@ -321,7 +322,7 @@ def find(docs: DataFrame, text: str = "text", turns: int = 2, support: int = 3,
         if fresh.isEmpty():
             break
         searched = more(searched, fresh)
-        hits = more(hits, stored(texts.mapInArrow(_slots(Sieve(fresh)), HITS).join(fresh, "pattern", "left_semi"), "pii-hits"))
+        hits = more(hits, stored(some.mapInArrow(_slots(Sieve(fresh)), HITS).join(fresh, "pattern", "left_semi"), "pii-hits"))
         # a string needs two patterns, so only patterns of such strings have to be weighed
         unknown = hits.where("instance IS NOT NULL").select("pattern", "instance").distinct().join(known.select("instance").distinct(), "instance", "left_anti")
         twice = unknown.groupBy("instance").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("instance")
