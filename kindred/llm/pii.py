@@ -141,12 +141,13 @@ def seeds(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """kind, instance and patterns of the base spans of a text; a span's slot are the words that it touches."""
     at = [m.span() for m in _WORDS.finditer(text)]
     starts, stops = [a for a, _ in at], [b for _, b in at]
-    found = []
+    words, hashed, found = folded(text.encode()), {}, []
     for kind, a, b in spans:
         i, j = bisect_right(starts, a) - 1, bisect_left(stops, b) + 1
         first = max(0, i - 2)
-        near = folded(text[starts[first]:stops[min(len(at), j + 2) - 1]].encode())
-        hashes = np.fromiter(map(xxh64_intdigest, near), np.uint64, len(near))
+        near = range(first, min(len(at), j + 2))
+        hashed.update((k, xxh64_intdigest(words[k])) for k in near if k not in hashed)
+        hashes = np.array([hashed[k] for k in near], np.uint64)
         found.append({"kind": kind, "instance": text[a:b], "patterns": around(hashes, i - first, j - first)})
     return found
 
