@@ -24,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz})
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The files of a table as a stream, whether the table is one file or a folder of them."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    # a plain path would have to be a folder, a glob may be either
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def _pick(words: list[str], i: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), (i + 1).cast("int"))
 

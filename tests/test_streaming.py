@@ -1,8 +1,10 @@
 import json
+import shutil
 import time
 
 from pyspark.sql import functions as F
 
+from checks import testbed
 from kindred.operators.embed import HashingEmbedder
 from kindred.plans import validate
 from kindred.schemas import RECORDS
@@ -26,6 +28,17 @@ def events(spark, tmp_path):
     return df, spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
 
 
+def test_table_stream_reads_a_file_or_a_folder(spark, tmp_path):
+    spark.range(20).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for part in (tmp_path / "events.parquet").glob("part-*"):
+        shutil.copy(part, tmp_path / "documents.parquet")
+    for name in ("events", "documents"):
+        want = sorted(r.id for r in spark.read.parquet(f"{tmp_path}/{name}.parquet").collect())
+        out = testbed.table_stream(spark, str(tmp_path), name).writeStream.format("parquet").option("path", str(tmp_path / name))
+        finish(out, tmp_path / f"{name}-checkpoint")
+        assert want and sorted(r.id for r in spark.read.parquet(str(tmp_path / name)).collect()) == want
+
+
 def test_alarms_batch_and_stream_agree(spark, tmp_path):
     batch, stream = events(spark, tmp_path)
     minute = lambda df, c: sorted(r[0].minute + 60 * (r[0].hour) for r in df.select(c).collect())
