@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kindred.functions.common import is_blank, literal_map
+from kindred.functions.common import is_blank, literal_map, once
 from kindred.functions.dims import PLACE_ABBREVIATIONS
 
 Cleanser = Callable[[Column], Column]
@@ -23,13 +23,14 @@ def fix_ocr_years(c: Column) -> Column:
     """Repair letters read for digits in four-character year-like words.
 
     One replacement per letter class. The look-arounds prove that the letter
-    sits at position 0..3 of a word made of exactly four year-like characters.
+    sits at position 0..3 of a word made of exactly four year-like characters; they
+    stand behind the letter, so that other characters cost one comparison.
     """
     y = "[0-9IlSO]"
-    spot = lambda letters: "|".join(
-        f"(?<={_NOT_AFTER_WORD}{y * before})[{letters}](?={y * (3 - before)}{_NOT_BEFORE_WORD})"
+    spot = lambda letters: f"[{letters}](?:" + "|".join(
+        f"(?<={_NOT_AFTER_WORD}{y * before}[{letters}])(?={y * (3 - before)}{_NOT_BEFORE_WORD})"
         for before in range(4)
-    )
+    ) + ")"
     for letters, digit in (("S", "5"), ("O", "0"), ("lI", "1")):
         c = F.regexp_replace(c, spot(letters), digit)
     return c
@@ -79,9 +80,12 @@ def unregister_cleanser(fn: Cleanser) -> None:
 
 
 def cleanse(c: Column, steps: Sequence[Cleanser] | None = None) -> Column:
-    """Run the steps in order as one expression; blank text passes unchanged."""
+    """Run the steps in order as one expression; blank text passes unchanged.
+
+    What a step gets is worked out once, however often the step names it.
+    """
     chain = _registered if steps is None else steps
-    return F.when(is_blank(c), c).otherwise(reduce(lambda acc, step: step(acc), chain, c))
+    return F.when(is_blank(c), c).otherwise(reduce(once, chain, c))
 
 
 # What counts as personal data, in replacement order.

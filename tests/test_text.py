@@ -37,6 +37,12 @@ def test_chain_and_extra_step(spark):
     assert apply(spark, cl.cleanse, ["circa 18S0"]) == ["circa 1850"]
 
 
+def test_chain_works_each_step_out_once(spark):
+    df = spark.createDataFrame([("18S0 in NYC",)], "c string")
+    plan = df.select(cl.cleanse(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 3
+
+
 def test_redaction(spark):
     got = apply(spark, cl.redact_pii, ["a 123-45-6789 b", "mail x.y+z@example.co.uk now",
                                        "call (617) 555-1212 or 617.555.1212", "year 1850"])
