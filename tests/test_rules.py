@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from kindred.functions import rules as ru
 from kindred.functions.transit import available_days, geocode, haversine_miles, transit_estimate
 from kindred.operators import graph
@@ -122,3 +123,12 @@ def test_tiers_and_verdict(spark):
                                "a double, t double")
     assert [r.x for r in df.select(graph.margin_tier(F.col("a"), F.col("t")).alias("x")).collect()] == [
         "very_comfortable", "comfortable", "moderate", "tight", "impossible", "very_comfortable"]
+
+
+def test_gender_conflicts_infer_each_name_once(spark, monkeypatch):
+    pairs = spark.createDataFrame([("a", "b", "John", "Mary"), ("a", "c", "John", "Thomas"), ("b", "d", None, "Zxqvr")],
+                                  "from_id string, to_id string, from_given string, to_given string")
+    monkeypatch.setattr(queries, "_pairs", lambda spark, sf: pairs)
+    found = queries.gender_conflicts(spark, "")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 2
+    assert [tuple(r) for r in found.collect()] == [("a", "b", "MALE", "FEMALE")]
