@@ -105,7 +105,7 @@ def redact_pii(c: Column) -> Column:
 def title_case(c: Column) -> Column:
     """Upper-case after every non-letter, so ``o'brien`` gives ``O'Brien``.
 
-    ``initcap`` only breaks on spaces; here every run of letters is one word.
+    ``initcap`` only breaks on spaces; here every run of letters is one word. A text of letters alone is one.
     """
     runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
+    return F.when(c.rlike(r"^\p{L}*+\z"), F.initcap(c)).otherwise(F.array_join(F.transform(runs, lambda r: F.initcap(r)), ""))

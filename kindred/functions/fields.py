@@ -47,8 +47,10 @@ def convert_fields(df: DataFrame, line: str = "line") -> DataFrame:
     value = {f: F.try_variant_get(F.col(line), f"$.{f}", "variant") for f in LANDING_FIELDS}
     df = staged(df, {f"_v_{f}": v for f, v in value.items()})
     df = staged(df, {
-        **{f"_t_{f}": json_type(F.schema_of_variant(f"_v_{f}")) for f in value},
+        **{f"_k_{f}": F.schema_of_variant(f"_v_{f}") for f in value},
         **{f"_s_{f}": F.try_variant_get(f"_v_{f}", "$", "string") for f in value}})
+    # a step of its own: ``json_type`` names the schema many times
+    df = staged(df, {f"_t_{f}": json_type(F.col(f"_k_{f}")) for f in value})
     out: dict[str, Column] = {}
     for f in value:
         kind, text = F.col(f"_t_{f}"), F.col(f"_s_{f}")
@@ -66,7 +68,7 @@ def convert_fields(df: DataFrame, line: str = "line") -> DataFrame:
             clean = title_case(trim_ws(text)) if f in NAMES else trim_ws(text)
             out[f] = F.when(kind == "str", clean).otherwise(text)
             out[f"{f}_type"] = kind
-    return staged(df, out).drop(*[f"_{k}_{f}" for f in value for k in "vts"])
+    return staged(df, out).drop(*[f"_{k}_{f}" for f in value for k in "vkts"])
 
 
 def _type(f: str) -> Column:

@@ -92,7 +92,8 @@ def route(lines: DataFrame, batch_id: str | Column) -> Routed:
     with one write partitioned by outcome.
     """
     checked = checked_lines(lines, batch_id)
-    refused = (checked.groupBy("source_key").agg(F.count("line").alias("n"))
+    # files are judged by the parse alone: steps of ``checked`` would all run again
+    refused = (lines.groupBy("source_key").agg(F.count(parse_line(F.col("value"))).alias("n"))
                .where("n = 0").select("source_key", F.lit(NO_JSON).alias("file_reason")))
     bad = checked.where(F.size("reasons") > 0).join(refused, "source_key", "left")
     quarantine = bad.select(

@@ -135,3 +135,12 @@ def test_only_empty_values_are_skipped(spark):
     got = va.ingest_outcomes(lines(spark, [line(recordId=v) for v, _ in values])).orderBy("source_line")
     assert [r.outcome for r in got.collect()] == [w for _, w in values]
     assert [r.source_line for r in va.ingest_errors(lines(spark, [line(), "x", "y"])).orderBy("source_line").collect()] == [2, 3]
+
+
+def test_files_are_judged_by_the_parse_alone(spark):
+    df = spark.createDataFrame([("a", 1, "{}"), ("a", 2, "x"), ("b", 1, "x")], "source_key string, source_line long, value string")
+    steps = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Generate inline")
+    quarantine = va.route(df, "b1").quarantine
+    assert steps(quarantine) == steps(va.checked_lines(df, "b1")) > 0
+    assert sorted((r.source_key, r.source_line, r.file_reason) for r in quarantine.collect()) == [
+        ("a", 1, None), ("a", 2, None), ("b", 1, va.NO_JSON)]
