@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from kindred.operators.embed import Embedder, embed_records
 from kindred.operators.lineage import durable
+from kindred.operators.ranking import top_k
 from kindred.operators.upsert import upsert_records
 from kindred.plans.validate import observed, quarantine_manifest, route
 from kindred.sources.bucketed import BUCKET, bucket_count, bucket_of, create_buckets, read_buckets, write_buckets
@@ -106,7 +107,9 @@ def stream_upsert(arrivals: DataFrame, table: str, empty: DataFrame, at=None,
         if n is None:
             n = buckets
             create_buckets(empty, table, "record_id", n)
-        incoming = durable(batch.withColumn(BUCKET, bucket_of("record_id", n)))
+        # of an id only the last arrival is written down; upserting that finds no other
+        latest = top_k(batch, ["record_id"], [F.col("arrival").desc()], 1)
+        incoming = durable(latest.withColumn(BUCKET, bucket_of("record_id", n)))
         # at most ``buckets`` whole numbers, so that only their folders are read
         touched = [r[0] for r in incoming.select(BUCKET).distinct().collect()]
         old = read_buckets(spark, table, schema).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
