@@ -32,6 +32,8 @@ from kindred.operators.ranking import top_k
 MOST_CELLS, PER_CELL, SAMPLE_BYTES = 1 << 14, 64, 64 << 20
 #: Bytes of query vectors that are broadcast at once, and scores that a task holds at once.
 QUERY_BYTES, SCORES = 64 << 20, 4_000_000
+#: Rows of an answer that a task holds before it cuts them to the best, if the queries of a block have no more.
+HELD = 500_000
 #: Parts of a degree in which the distances to the centre are counted.
 STEPS = 10
 #: Cells that a query asks in the first turn and in the second.
@@ -117,7 +119,7 @@ class Block:
         cells = asked if self.rest else now
         flat = cells.ravel()
         order = np.argsort(flat, kind="stable")
-        self.cell, self.query = flat[order], order // max(1, cells.shape[1])
+        self.cell, self.query = flat[order].astype(np.int32), (order // max(1, cells.shape[1])).astype(np.int32)
 
     def visits(self, cell: int, centre: np.ndarray, near: float, far: float) -> np.ndarray:
         """Which queries look into a cell in this turn."""
@@ -129,6 +131,21 @@ class Block:
         return np.flatnonzero(good)
 
 
+def top_cells(scores: np.ndarray, k: int, min_score: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the best ``k`` scores per row; ties go to the lower column."""
+    scores[np.isnan(scores)] = -np.inf
+    keep = (scores >= min_score) & (scores > -np.inf)
+    if scores.shape[1] <= k:
+        return np.nonzero(keep)
+    cut = np.partition(scores, -k, axis=1)[:, [-k]]
+    row, col = np.nonzero(keep & (scores >= cut))
+    level = scores[row, col] == cut[row, 0]
+    room, tied = k - np.bincount(row[~level], minlength=len(scores)), row[level]
+    take = ~level
+    take[level] = np.arange(len(tied)) - np.searchsorted(tied, tied) < room[tied]
+    return row[take], col[take]
+
+
 def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
     return found.sort_values(["score", "record_id"], ascending=[False, True], kind="stable").groupby("query_id", sort=False).head(k)
 
@@ -137,6 +154,7 @@ def _scanner(shared, k: int, scored):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, centres, near, far = shared.value
         found, held, known = [], 0, {}
+        most = max(HELD, 2 * k * len(block.ids))
         for batch in batches:
             for cell, rows in batch.groupby("cell", sort=False):
                 if cell not in known:
@@ -150,15 +168,11 @@ def _scanner(shared, k: int, scored):
                 for s in pieces(len(asking), len(ids)):
                     some = asking[s]
                     scores = np.round(block.units[some] @ m.T, 10)
-                    keep = np.ones_like(scores, bool)
-                    if len(ids) > k:
-                        keep = scores >= np.partition(scores, -k, axis=1)[:, [-k]]
-                    if block.beat is not None:
-                        keep &= scores >= block.beat[some][:, None] - 1e-9
-                    q, e = np.nonzero(keep)
+                    # k per query, however many vectors are equal
+                    q, e = top_cells(scores, k, -2.0 if block.beat is None else block.beat[some][:, None] - 1e-9)
                     found.append(pd.DataFrame({"query_id": block.ids[some[q]], "record_id": ids[e], "score": scores[q, e]}))
                     held += len(q)
-                    if held > SCORES:
+                    if held > most:
                         found = [_first(pd.concat(found), k)]
                         held = len(found[0])
         if found:

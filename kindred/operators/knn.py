@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.text import snippet
 from kindred.functions.vectors import cosine
-from kindred.operators.ivf import RECALL, VectorIndex
+from kindred.operators.ivf import RECALL, VectorIndex, top_cells
 from kindred.operators.lineage import durable, scratch_dir
 from kindred.operators.ranking import top_k
 
@@ -58,19 +58,6 @@ def _unit(vectors: pd.Series) -> np.ndarray:
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _top_cells(scores: np.ndarray, k: int, min_score: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the best ``k`` scores per row; ties go to the lower column."""
-    scores[np.isnan(scores)] = -np.inf
-    if scores.shape[1] > k:
-        cut = np.partition(scores, -k, axis=1)[:, [-k]]
-        above, level = scores > cut, scores == cut
-        room = k - above.sum(axis=1, keepdims=True)
-        keep = above | (level & (np.cumsum(level, axis=1) <= room))
-    else:
-        keep = np.ones_like(scores, dtype=bool)
-    return np.nonzero(keep & (scores >= min_score) & (scores > -np.inf))
-
-
 def _scores(q: np.ndarray, e: np.ndarray) -> np.ndarray:
     return np.round(q @ e.T, 10)
 
@@ -90,7 +77,7 @@ def _stream_best(shared, k: int, min_score: float):
             for i in range(0, len(batch), step := max(1, SCORES // max(1, len(ids)))):
                 part = batch.iloc[i:i + step]
                 scores = _scores(units, _unit(part["vector"]))
-                row, col = _top_cells(scores, k, min_score)
+                row, col = top_cells(scores, k, min_score)
                 found.append(pd.DataFrame({"query_id": ids[row], "record_id": part["record_id"].to_numpy()[col], "score": scores[row, col]}))
                 held += len(row)
                 if held > SCORES:
