@@ -21,9 +21,10 @@ from kindred.operators.ivf import RECALL, VectorIndex, top_cells
 from kindred.operators.lineage import durable, scratch_dir
 from kindred.operators.ranking import top_k
 
-#: Bytes of query vectors that are broadcast at once, and score cells that a task holds at once.
-QUERY_BYTES = 64 << 20
-SCORES = 4_000_000
+#: Bytes of query vectors that are broadcast at once, and answers to them that a task holds.
+QUERY_BYTES, HELD = 64 << 20, 2_000_000
+#: Stored vectors and scores that a task works on at once: what fits a core's cache.
+PIECE, CELLS = 1024, 1 << 20
 
 
 def similarity_among(candidates: DataFrame, embeddings: DataFrame,
@@ -58,33 +59,55 @@ def _unit(vectors: pd.Series) -> np.ndarray:
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _scores(q: np.ndarray, e: np.ndarray) -> np.ndarray:
-    return np.round(q @ e.T, 10)
-
-
-def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    return (found.sort_values(["score", "record_id"], ascending=[False, True], kind="stable")
-            .groupby("query_id", sort=False).head(k))
+def _merged(best: np.ndarray, names: np.ndarray, row: np.ndarray, score: np.ndarray, name: np.ndarray, k: int) -> None:
+    """Put new scores into ``best`` and ``names`` (a row of ``k`` per query, -inf and None where there is none yet)."""
+    some = np.unique(row)
+    at = np.concatenate((np.repeat(some, k), row))
+    scores, ids = np.concatenate((best[some].ravel(), score)), np.concatenate((names[some].ravel(), name))
+    real = scores > -np.inf
+    at, scores, ids = at[real], scores[real], ids[real]
+    order = np.lexsort((-scores, at))
+    at, scores, ids = at[order], scores[order], ids[order]
+    # ids are compared only where scores are equal
+    equal = (at[1:] == at[:-1]) & (scores[1:] == scores[:-1])
+    if equal.any():
+        tied = np.flatnonzero(np.append(equal, False) | np.append(False, equal))
+        tied_order = np.lexsort((pd.factorize(ids[tied], sort=True)[0], -scores[tied], at[tied]))
+        ids[tied] = ids[tied][tied_order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    kept = place < k
+    best[at[kept], place[kept]], names[at[kept], place[kept]] = scores[kept], ids[kept]
 
 
 def _stream_best(shared, k: int, min_score: float):
-    """Best ``k`` of a partition's vectors for each query of the broadcast block."""
+    """Best ``k`` of a partition's vectors for each query of the broadcast block.
+
+    A score becomes a row only if it reaches the k-th best that its query has by then, so rows thin out as vectors pass.
+    """
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, units = shared.value
-        found, held = [], 0
+        scores, names = np.full((len(ids), k), -np.inf), np.full((len(ids), k), None, object)
         for batch in batches:
             batch = batch[batch["vector"].notna()].sort_values("record_id", kind="stable")
-            for i in range(0, len(batch), step := max(1, SCORES // max(1, len(ids)))):
-                part = batch.iloc[i:i + step]
-                scores = _scores(units, _unit(part["vector"]))
-                row, col = top_cells(scores, k, min_score)
-                found.append(pd.DataFrame({"query_id": ids[row], "record_id": part["record_id"].to_numpy()[col], "score": scores[row, col]}))
-                held += len(row)
-                if held > SCORES:
-                    found = [_first(pd.concat(found), k)]
-                    held = len(found[0])
-        if found:
-            yield _first(pd.concat(found), k)
+            for i in range(0, len(batch), PIECE):
+                part = batch.iloc[i:i + PIECE]
+                m, own = _unit(part["vector"]), part["record_id"].to_numpy()
+                for j in range(0, len(ids), step := max(1, CELLS // PIECE)):
+                    beat = np.maximum(scores[j:j + step, -1:], min_score)
+                    raw = units[j:j + step] @ m.T
+                    # scores count by ten digits, so what is rounded up may still reach
+                    cells = np.flatnonzero(raw >= beat - 1e-9)
+                    if len(cells) > 2 * k * len(raw):  # the first vectors, or many that are equal: k per query of them
+                        row, col = top_cells(np.round(raw, 10), k, beat)
+                    else:
+                        row, col = np.divmod(cells, raw.shape[1])
+                    if len(row):
+                        found = np.round(raw[row, col], 10)
+                        real = found >= beat[row, 0]
+                        _merged(scores, names, row[real] + j, found[real], own[col[real]], k)
+        query, place = np.nonzero(scores > -np.inf)
+        if len(query):
+            yield pd.DataFrame({"query_id": ids[query], "record_id": names[query, place], "score": scores[query, place]})
     return best
 
 
@@ -92,7 +115,7 @@ def nearest(query_vectors: DataFrame, embeddings: DataFrame, k: int = 5,
             min_score: float = -1.0, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, record_id, score, rank): exact ``k`` nearest by cosine, score >= ``min_score``.
 
-    Reads the stored vectors once per ``query_bytes`` of query vectors; with more queries than a few such
+    Reads the stored vectors once per ``query_bytes`` of query vectors (or HELD answers); with more queries than a few such
     blocks ``ann_search`` is the way. Of several blocks each one's result is written to the scratch folder
     before the next is broadcast.
     """
@@ -100,7 +123,7 @@ def nearest(query_vectors: DataFrame, embeddings: DataFrame, k: int = 5,
     q = query_vectors.select("query_id", F.col("query_vector").alias("vector")).where("vector is not null")
     e = embeddings.select("record_id", F.col("embedding").alias("vector"))
     n, width = q.agg(F.count("*"), F.max(F.size("vector"))).first()
-    blocks = max(1, -(-n * (width or 0) * 8 // query_bytes))
+    blocks = max(1, -(-n * (width or 0) * 8 // query_bytes), -(-n * k // HELD))
     schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, record_id string, score double"
     parts = None
     for b in range(blocks):

@@ -1,4 +1,7 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +113,20 @@ def test_reindex_and_gaps(spark):
     assert embed.reindex(r, e, embed.HashingEmbedder(4), "new", AT, since="2005-01-01").report.first().records_processed == 0
     assert {x.record_id for x in embed.embedding_gaps(r, e).collect()} == {"B", "C"}
     assert embed.fill_gaps(r, e, embed.HashingEmbedder(4), "new", AT).count() == 2
+
+
+def test_exact_search_ranks_only_scores_that_reach_the_best_so_far(monkeypatch):
+    """Rows that a task ranks thin out as vectors pass, and ties go to the lower id whatever the order of arrival."""
+    ranked, top = [], knn.top_cells
+    monkeypatch.setattr(knn, "top_cells", lambda *a: ranked.append(len(a[0])) or top(*a))
+    m = np.random.default_rng(3).standard_normal((8000, 8))
+    m[5000] = m[7999] = m[10]
+    ids = np.array([f"R{9999 - i:04}" for i in range(len(m))])
+    batches = [pd.DataFrame({"record_id": ids[a:a + 1000], "vector": list(m[a:a + 1000])}) for a in range(0, len(m), 1000)]
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    out = pd.concat(knn._stream_best(SimpleNamespace(value=(np.arange(50), u[:50])), 3, -1.0)(iter(batches)))
+    scores = np.round(u[:50] @ u.T, 10)
+    for q in range(50):
+        want = sorted(zip(-scores[q], ids, strict=True))[:3]
+        assert sorted(out[out["query_id"] == q]["record_id"]) == sorted(i for _, i in want)
+    assert len(ranked) == 1
