@@ -38,6 +38,8 @@ _EMPTY = np.uint64(xxh64_intdigest(b""))
 SLOT = 4
 #: Digits that an identifier has at least, if it has no inner @ or underscore.
 DIGITS = 4
+#: Trust that a pattern needs. Texts are read for prose by one in so many, then the next, at last all.
+CONFIDENCE, SHARES = 0.8, (64, 8, 1)
 
 SCAN = ("key long, base array<struct<kind:int,start:int,stop:int>>, "
         "seen array<struct<kind:int,instance:string,patterns:array<long>>>")
@@ -270,7 +272,7 @@ class _Texts:
         return None
 
 
-def learn(edges: DataFrame, prose: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.8, certain: float = 0.9) -> DataFrame:
+def learn(edges: DataFrame, prose: DataFrame, rounds: int = 3, support: int = 3, confidence: float = CONFIDENCE, certain: float = 0.9) -> DataFrame:
     """(instance, kind) of strings that patterns identify.
 
     ``edges``: pattern, instance, kind, one row per pattern and instance; ``kind`` is -1 for strings without a known format.
@@ -299,6 +301,28 @@ def learn(edges: DataFrame, prose: DataFrame, rounds: int = 3, support: int = 3,
     return scored.join(open_edges.select("instance").distinct(), "instance").select("instance", "kind")
 
 
+def prose_met(texts: DataFrame, patterns: DataFrame, confidence: float) -> DataFrame:
+    """(pattern, n): how many distinct prose fillers patterns meet in ``texts`` (key, text), as far as it matters.
+
+    ``patterns``: pattern, instances, beside (what it meets anyway). An instance has at most two scores a kind, of at most 1, so a pattern's
+    trust is at most 2 instances / (all it meets). Texts are read in growing shares; a pattern whose trust cannot reach ``confidence`` after
+    what a share showed is done, with the count so far, which rules it out as well as the whole count would. All others are
+    counted over all texts.
+    """
+    hopeless = 2 * F.col("instances") / (F.col("instances") + F.col("beside") + F.col("n")) < confidence
+    left, counts = stored(patterns.withColumn("n", F.lit(0)).where(~hopeless).drop("n"), "pii-open"), None
+    for share in SHARES:
+        if left.isEmpty():
+            break
+        some = texts.where(F.pmod(F.col("key"), F.lit(share)) == 0) if share > 1 else texts
+        counted = stored(some.mapInArrow(_slots(Sieve(left.select("pattern")), False), HITS).join(left, "pattern")
+                         .groupBy("pattern", "instances", "beside").agg(F.countDistinct("filler").alias("n")), "pii-prose")
+        done = (counted.where(hopeless) if share > 1 else counted).select("pattern", "n")
+        counts = done if counts is None else counts.union(done)
+        left = stored(left.join(done, "pattern", "left_anti"), "pii-open")
+    return texts.sparkSession.createDataFrame([], "pattern long, n long") if counts is None else counts
+
+
 def find(docs: DataFrame, text: str = "text", turns: int = 2, support: int = 3, **settings) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, base, learned: arrays of (kind, start, stop) in order.
 
@@ -330,15 +354,17 @@ def find(docs: DataFrame, text: str = "text", turns: int = 2, support: int = 3,
         weighed = stored(unknown.join(twice, "instance", "left_semi").select("pattern").distinct(), "pii-weighed")
         new = weighed if counted is None else stored(weighed.join(counted, "pattern", "left_anti"), "pii-new")
         counted = more(counted, new)
-        if not new.isEmpty():
-            prose = more(prose, stored(texts.mapInArrow(_slots(Sieve(new), False), HITS).join(new, "pattern", "left_semi")
-                                       .groupBy("pattern").agg(F.countDistinct("filler").alias("n")), "pii-prose"))
-        if prose is None:
-            break
         beside = hits.where("filler IS NOT NULL").join(weighed, "pattern", "left_semi").groupBy("pattern").agg(F.countDistinct("filler").alias("n"))
         edges = (known.select("pattern", "instance", "kind").union(hits.where("instance IS NOT NULL").select("pattern", "instance", F.lit(-1)))
                  .join(weighed, "pattern", "left_semi").groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
-        learned = stored(learn(stored(edges, "pii-edges"), prose.union(beside), support=support, **settings), "pii-learned")
+        edges = stored(edges, "pii-edges")
+        if not new.isEmpty():
+            sizes = edges.join(new, "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
+            sizes = sizes.join(beside, "pattern", "left").select("pattern", "instances", F.coalesce("n", F.lit(0)).alias("beside"))
+            prose = more(prose, prose_met(texts, sizes, settings.get("confidence", CONFIDENCE)))
+        if prose is None:
+            break
+        learned = stored(learn(edges, prose.union(beside), support=support, **settings), "pii-learned")
         places = hits.where("instance IS NOT NULL").join(learned, "instance")
         met = known.select("pattern", "instance").union(places.select(F.explode("around"), "instance"))
     none = F.array().cast("array<struct<kind:int,start:int,stop:int>>")

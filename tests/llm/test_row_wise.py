@@ -1,10 +1,12 @@
 """Operators that judge each row for itself: quality, personal data, tokens, licences, benchmark passages."""
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from xxhash import xxh64_intdigest
 
 from kindred.llm import decontaminate, licences, pii, quality, tokens
 from tests.llm import brute
@@ -256,3 +258,16 @@ def test_passages_of_messy_rows(docs, none, spark, messy):
     assert {r["doc_id"] for r in decontaminate.find(docs, bench).collect()} == {9, 10}
     assert decontaminate.find(none, bench).count() == 0
     assert decontaminate.find(docs, bench.where("item_id = 9")).count() == 0
+
+
+def test_patterns_of_everyday_prose_are_ruled_out_by_a_share_of_the_texts(spark):
+    """What so many fillers rule out is not counted any further; a pattern that may be trusted is counted over all texts."""
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, f"zig call me x{letters(i)}" + (f" go send to y{letters(i)}" if i % 600 == 0 else "")) for i in range(3000)]
+    texts = spark.createDataFrame(rows, "i long, text string").select(F.xxhash64("i").alias("key"), "text")
+    h = lambda w: np.array([xxh64_intdigest(w)], np.uint64)
+    common, rare = (int(pii._left(h(a), h(b)).view(np.int64)[0]) for a, b in ((b"call", b"me"), (b"send", b"to")))
+    patterns = spark.createDataFrame([(common, 4, 0), (rare, 4, 0), (1, 1, 9)], "pattern long, instances long, beside long")
+    got = {r["pattern"]: r["n"] for r in pii.prose_met(texts, patterns, 0.8).collect()}
+    assert got.keys() == {common, rare} and got[rare] == 5
+    assert 6 < got[common] < 300
