@@ -68,3 +68,14 @@ def test_search_takes_a_variant_table(spark):
     found = lambda v: [r["record_id"] for r in match_exact(asked, records, variants=v).orderBy("rank").collect()]
     assert found(variants) == found({"zoe": "zoey"}) == ["r1", "r2"]
     assert found(None) == ["r1"]
+
+
+def test_texts_are_not_shuffled_with_their_words(spark):
+    """Only a digest goes with a word, and a word goes once per text however often the text has it."""
+    words = spark.createDataFrame([("ny", "New York"), ("la", "Los Angeles")], "short string, full string")
+    rows = [(1, "ny, NY and LA " + "x" * 500), (2, "ny, NY and LA " + "x" * 500), (3, None), (4, "nyla"), (5, "")]
+    got = with_places(spark.createDataFrame(rows, "i int, place string"), "place", words)
+    joined = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in joined and "array_distinct" in joined
+    want = "New York, New York and Los Angeles " + "x" * 500
+    assert {r.i: r.place for r in got.collect()} == {1: want, 2: want, 3: None, 4: "nyla", 5: ""}
