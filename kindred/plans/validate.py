@@ -164,11 +164,11 @@ def quarantine_reasons(quarantine: DataFrame) -> DataFrame:
 
 
 def quarantine_manifest(quarantine: DataFrame, at, empty: DataFrame | None = None,
-                        batch_id: str | None = None, most: int = 1000) -> DataFrame:
-    """One row per quarantined file: line count, distinct reasons as first seen, pending.
+                        batch_id: str | None = None, most: int | None = None) -> DataFrame:
+    """One row per quarantined file: line count, all distinct reasons as first seen, pending.
 
-    ``empty``: source_key of files without a line, which get a row under ``batch_id``. The array
-    holds the first ``most`` distinct reasons, so that a row stays bounded; ``quarantine_reasons`` has all.
+    ``empty``: source_key of files without a line, which get a row under ``batch_id``. Reasons are made distinct by key before
+    they meet in the array of their file; ``most`` keeps the first so many. ``quarantine_reasons`` has them as rows.
     """
     counts = quarantine.groupBy("source_key").agg(
         F.count("*").alias("line_count"), F.min("batch_id").alias("batch_id"))

@@ -92,6 +92,16 @@ def test_manifest_and_replay(spark):
     assert new.replay_status == "replayed" and len(new.replays) == 1
 
 
+def test_manifest_has_every_reason(spark):
+    """More distinct reasons than any bound of a group limit, in the order of their lines."""
+    held = spark.range(3000).select(
+        F.lit("landing/a.ndjson").alias("source_key"), (F.col("id") + 1).alias("source_line"), F.lit("b1").alias("batch_id"),
+        F.array(F.concat(F.lit("reason "), (F.col("id") % 2500).cast("string"))).alias("reasons"), F.lit(None).cast("string").alias("file_reason"))
+    row = va.quarantine_manifest(held.repartition(5), "2000-01-01").first()
+    assert row.line_count == 3000 and row.reasons == [f"reason {i}" for i in range(2500)]
+    assert va.quarantine_manifest(held, "2000-01-01", most=7).first().reasons == row.reasons[:7]
+
+
 def test_outcomes(spark):
     got = va.ingest_summary(lines(spark, [line(), line(recordId=""), line(givenName=None), "x", line(familyName=...)]))
     r = got.first()
