@@ -80,7 +80,7 @@ def reach(far: np.ndarray, good) -> np.ndarray:
 
 def direct(ids: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the longest stretches of period q (not the smallest perhaps) of enough words."""
-    same = np.concatenate(([False], ids[q:] == ids[:len(ids) - q], [False]))
+    same = np.concatenate(([False], ids[q:] == ids[:max(len(ids) - q, 0)], [False]))
     edges = np.flatnonzero(same[1:] != same[:-1])
     start, stop = edges[::2], edges[1::2]
     enough = stop - start + q >= max(LEAST, COPIES * q)

@@ -104,3 +104,13 @@ def test_shortest_runs(q, n):
     w = [b"l", *(b"w%d" % (i % q) for i in range(n)), b"r"]
     assert periodic.pack_runs([w]) == [[(1, n, q)]]
     assert periodic.pack_runs([w[:n] + [b"r"]]) == [[]]
+
+
+def test_packs_shorter_than_a_lag(spark):
+    """A few words alone in a pack, as the last text behind a full one may be, have no runs."""
+    for n in range(30):
+        w = [b"a"] * n
+        assert periodic.pack_runs([w]) == [runs(w)] and periodic.pack_runs([w, []]) == [runs(w), []]
+    long = " ".join("t%d" % i for i in range(periodic.PACK))
+    docs = spark.createDataFrame([(1, long), (2, "a b c d")], "doc_id long, text string").coalesce(1)
+    assert [(r.doc_id, r.n_words, r.runs) for r in periodic.find(docs).collect()] == [(1, periodic.PACK, []), (2, 4, [])]
